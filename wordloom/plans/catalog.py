@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import duck_ngrams, duck_strip_ws, duck_tokens
-from ..operators import freq
+from ..operators import classify, freq, naive_bayes, split
+from ..operators.split import duck_split_sql
 from ..sources import text as src
+from . import classic
 from .registry import register
 
 # ------------------------------------------------------------------ helpers
@@ -101,3 +103,157 @@ def top_words_by_role(spark, sf):
 @register("top_trigrams_by_role", _top_k_sql(CONV_BY_ROLE, 10, n=3, stopwords=True))
 def top_trigrams_by_role(spark, sf):
     return freq.top_ngrams_by_label(src.conversations_by_role(spark, sf), n=3, k=10, stopwords=True)
+
+
+# ------------------------------------------------------- classic classifier
+# Classifier input: documents joined to labels; label = toxic / clean.
+CLS_SEED, CLS_RATIO, CLS_TOP_WORDS, CLS_POSITIVE = 42, 0.2, 2000, "toxic"
+CLS_BASE = (
+    "SELECT d.doc_id AS row_id, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END AS label, d.text "
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+)
+
+
+def _cls_ctes() -> str:
+    """DuckDB CTEs: split, tok, vocab, bow, params, pred (NB on the test rows)."""
+    return f"""
+WITH split AS ({duck_split_sql(CLS_BASE, CLS_RATIO, CLS_SEED)}),
+tok AS (SELECT row_id, label, shuffle_key, is_train, {duck_tokens("text", True)} AS tokens FROM split),
+vc AS (SELECT term, count(*) AS cnt,
+              min(CAST(shuffle_key AS DECIMAL(38,0)) * CAST(1000000000000 AS DECIMAL(38,0)) + pos) AS first
+       FROM (SELECT shuffle_key, pos, tokens[pos + 1] AS term
+             FROM (SELECT shuffle_key, tokens, unnest(range(len(tokens))) AS pos FROM tok WHERE is_train))
+       GROUP BY term),
+v1 AS (SELECT term, cnt, row_number() OVER (ORDER BY cnt DESC, first ASC) AS freq_rank FROM vc),
+vocab AS (SELECT term, CAST(cnt AS BIGINT) AS cnt, CAST(freq_rank AS BIGINT) AS freq_rank,
+                 CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS feature_index
+          FROM v1 WHERE freq_rank <= {CLS_TOP_WORDS}),
+bow AS (SELECT DISTINCT w.row_id, w.term, v.feature_index
+        FROM (SELECT row_id, unnest(tokens) AS term FROM tok) w JOIN vocab v ON v.term = w.term),
+tr AS (SELECT row_id, label FROM tok WHERE is_train),
+sizes AS (SELECT label, count(*) AS n_c FROM tr GROUP BY label),
+tot AS (SELECT sum(n_c) AS n_all, count(*) AS n_labels FROM sizes),
+ncw AS (SELECT t.label, b.term, count(*) AS n_cw FROM bow b JOIN tr t ON t.row_id = b.row_id GROUP BY t.label, b.term),
+dfw AS (SELECT term, sum(n_cw) AS df_w FROM ncw GROUP BY term),
+pr AS (SELECT s.label, v.term, s.n_c, coalesce(n.n_cw, 0) AS n_cw,
+              CASE WHEN coalesce(d.df_w, 0) >= tot.n_all THEN 1 ELSE 2 END AS bins, tot.n_all, tot.n_labels
+       FROM sizes s CROSS JOIN vocab v CROSS JOIN tot
+       LEFT JOIN ncw n ON n.label = s.label AND n.term = v.term
+       LEFT JOIN dfw d ON d.term = v.term),
+params AS (SELECT label, term, CAST(n_c AS BIGINT) AS n_c, CAST(n_cw AS BIGINT) AS n_cw, bins,
+                  ln((n_cw + 0.5) / (n_c + 0.5 * bins)) AS log_p_true,
+                  ln((n_c - n_cw + 0.5) / (n_c + 0.5 * bins)) AS log_p_false,
+                  ln((n_c + 0.5) / (n_all + 0.5 * n_labels)) AS log_prior FROM pr),
+base AS (SELECT label, max(log_prior) + sum(log_p_false) AS base FROM params GROUP BY label),
+gain AS (SELECT b.row_id, p.label, sum(p.log_p_true - p.log_p_false) AS gain
+         FROM bow b JOIN params p ON p.term = b.term GROUP BY b.row_id, p.label),
+test AS (SELECT row_id, label FROM tok WHERE NOT is_train),
+sc AS (SELECT t.row_id, bs.label AS cand, bs.base + coalesce(g.gain, 0) AS score
+       FROM test t CROSS JOIN base bs LEFT JOIN gain g ON g.row_id = t.row_id AND g.label = bs.label),
+best AS (SELECT row_id, cand AS predicted FROM
+           (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, cand DESC) AS k FROM sc) WHERE k = 1),
+pred AS (SELECT t.row_id, t.label, b.predicted FROM test t LEFT JOIN best b ON b.row_id = t.row_id)
+"""
+
+
+def _metrics_sql(pred: str, cid: str) -> str:
+    return f"""
+SELECT '{cid}' AS classifier_id,
+       CASE WHEN total > 0 THEN correct / total ELSE 0.0 END AS accuracy,
+       CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+       CASE WHEN (CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) + (CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END) > 0
+            THEN 2.0 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) ELSE 0.0 END AS f1,
+       CAST(correct AS BIGINT) AS correct, CAST(total AS BIGINT) AS total, CAST(tp AS BIGINT) AS tp,
+       CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn
+FROM (SELECT count(*) AS total,
+             sum(CASE WHEN predicted = label THEN 1 ELSE 0 END) AS correct,
+             sum(CASE WHEN predicted = '{CLS_POSITIVE}' AND label = '{CLS_POSITIVE}' THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN predicted = '{CLS_POSITIVE}' AND label <> '{CLS_POSITIVE}' THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN predicted <> '{CLS_POSITIVE}' AND label = '{CLS_POSITIVE}' THEN 1 ELSE 0 END) AS fn
+      FROM {pred})
+"""
+
+
+def _prepared(spark, sf):
+    return classic.prepare(src.documents_by_toxicity(spark, sf), CLS_RATIO, CLS_SEED, CLS_TOP_WORDS, stopwords=True)
+
+
+@register("train_test_split", _cls_ctes() + "SELECT row_id, label, shuffle_key, is_train FROM tok")
+def train_test_split(spark, sf):
+    rows = split.seeded_split(src.documents_by_toxicity(spark, sf), CLS_RATIO, CLS_SEED)
+    return rows.select("row_id", "label", "shuffle_key", "is_train")
+
+
+@register("vocabulary", _cls_ctes() + "SELECT term, cnt, freq_rank, feature_index FROM vocab")
+def vocabulary_q(spark, sf):
+    return _prepared(spark, sf).vocab
+
+
+@register("bow_features", _cls_ctes() + "SELECT row_id, term, feature_index FROM bow")
+def bow_features(spark, sf):
+    return _prepared(spark, sf).bow
+
+
+@register(
+    "nb_parameters",
+    _cls_ctes()
+    + "SELECT label, term, n_c, n_cw, bins, round(log_p_true, 6) AS log_p_true, "
+    "round(log_p_false, 6) AS log_p_false, round(log_prior, 6) AS log_prior FROM params",
+)
+def nb_parameters(spark, sf):
+    params = classic.naive_bayes_model(_prepared(spark, sf))
+    return params.select(
+        "label", "term", "n_c", "n_cw", "bins",
+        *[F.round(c, 6).alias(c) for c in ("log_p_true", "log_p_false", "log_prior")],
+    )
+
+
+@register("nb_predictions", _cls_ctes() + "SELECT row_id, label, predicted FROM pred")
+def nb_predictions(spark, sf):
+    return classic.predictions(_prepared(spark, sf), "naive_bayes")
+
+
+@register("nb_metrics", _cls_ctes() + _metrics_sql("pred", "naive_bayes"))
+def nb_metrics(spark, sf):
+    pred = classic.predictions(_prepared(spark, sf), "naive_bayes").withColumn("classifier_id", F.lit("naive_bayes"))
+    return classify.confusion_metrics(pred, CLS_POSITIVE)
+
+
+@register(
+    "nb_informative",
+    _cls_ctes()
+    + """,
+lv AS (SELECT term, true AS value, (n_cw + 0.5) / (n_c + 0.5 * bins) AS p FROM params WHERE n_cw > 0
+       UNION ALL
+       SELECT term, false AS value, (n_c - n_cw + 0.5) / (n_c + 0.5 * bins) AS p FROM params WHERE n_c - n_cw > 0),
+ag AS (SELECT term, value, max(p) AS pmax, min(p) AS pmin FROM lv GROUP BY term, value HAVING min(p) > 0),
+rk AS (SELECT *, row_number() OVER (ORDER BY pmin / pmax, term, CAST(value AS INT)) AS rank FROM ag)
+SELECT CAST(rank AS BIGINT) AS rank, term, CAST(value AS VARCHAR) AS value, round(pmax / pmin, 6) AS ratio
+FROM rk WHERE rank <= 20""",
+)
+def nb_informative(spark, sf):
+    params = classic.naive_bayes_model(_prepared(spark, sf))
+    out = naive_bayes.informative_features(params, 20)
+    return out.select("rank", "term", "value", F.round("ratio", 6).alias("ratio"))
+
+
+@register("lr_metrics")
+def lr_metrics(spark, sf):
+    return classic.compare_classifiers(_prepared(spark, sf), ["logistic_regression"], CLS_POSITIVE)
+
+
+@register("svm_metrics")
+def svm_metrics(spark, sf):
+    return classic.compare_classifiers(_prepared(spark, sf), ["svm"], CLS_POSITIVE)
+
+
+@register("classifier_comparison")
+def classifier_comparison(spark, sf):
+    return classic.compare_classifiers(_prepared(spark, sf), ["naive_bayes", "svm", "logistic_regression"], CLS_POSITIVE)
+
+
+@register("classifier_metric_series")
+def classifier_metric_series(spark, sf):
+    m = classic.compare_classifiers(_prepared(spark, sf), ["naive_bayes", "svm", "logistic_regression"], CLS_POSITIVE)
+    return classify.metric_series(m)
