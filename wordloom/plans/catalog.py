@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import duck_ngrams, duck_strip_ws, duck_tokens
-from ..operators import classify, freq, naive_bayes, split
+from ..operators import classify, evaluate, freq, naive_bayes, split
 from ..operators.split import duck_split_sql
 from ..sources import text as src
 from . import classic
 from .registry import register
 
 # ------------------------------------------------------------------ helpers
-def _top_k_sql(base: str, k: int, n: int = 1, stopwords=None) -> str:
-    """DuckDB twin of item_counts + top_k_per_group over ``base`` (row_id, label, text)."""
+def _top_k_sql(base: str, k: int, n: int = 1, stopwords=None, group: str = "label", with_kw: str = "WITH") -> str:
+    """DuckDB twin of item_counts + top_k_per_group over ``base`` (row_id, <group>, text)."""
+    g = group
     return f"""
-WITH b AS ({base}),
-t0 AS (SELECT row_id AS rk, label, {duck_tokens("text", stopwords)} AS toks FROM b),
-t AS (SELECT rk, label, {duck_ngrams("toks", n)} AS items FROM t0),
-e AS (SELECT label, rk, pos, items[pos + 1] AS item
-      FROM (SELECT label, rk, items, unnest(range(len(items))) AS pos FROM t)),
-c AS (SELECT label, item, count(*) AS cnt,
+{with_kw} b AS ({base}),
+t0 AS (SELECT row_id AS rk, {g}, {duck_tokens("text", stopwords)} AS toks FROM b),
+t AS (SELECT rk, {g}, {duck_ngrams("toks", n)} AS items FROM t0),
+e AS (SELECT {g}, rk, pos, items[pos + 1] AS item
+      FROM (SELECT {g}, rk, items, unnest(range(len(items))) AS pos FROM t)),
+c AS (SELECT {g}, item, count(*) AS cnt,
              min(CAST(rk AS DECIMAL(38,0)) * CAST(1000000000000 AS DECIMAL(38,0)) + pos) AS first
-      FROM e GROUP BY label, item),
-r AS (SELECT label, item, cnt,
-             row_number() OVER (PARTITION BY label ORDER BY cnt DESC, first ASC) AS rank FROM c)
-SELECT label, CAST(rank AS BIGINT) AS rank, item, CAST(cnt AS BIGINT) AS cnt FROM r WHERE rank <= {k}
+      FROM e GROUP BY {g}, item),
+r AS (SELECT {g}, item, cnt,
+             row_number() OVER (PARTITION BY {g} ORDER BY cnt DESC, first ASC) AS rank FROM c)
+SELECT {g}, CAST(rank AS BIGINT) AS rank, item, CAST(cnt AS BIGINT) AS cnt FROM r WHERE rank <= {k}
 """
 
 
@@ -257,3 +258,158 @@ def classifier_comparison(spark, sf):
 def classifier_metric_series(spark, sf):
     m = classic.compare_classifiers(_prepared(spark, sf), ["naive_bayes", "svm", "logistic_regression"], CLS_POSITIVE)
     return classify.metric_series(m)
+
+
+# ------------------------------------------------------- cluster evaluation
+# Assignment fixture: embeddings.label as the cluster, documents.lang as the
+# label (vec_id = doc_id), the first two vector components as plot coordinates.
+ASSIGN_SQL = (
+    "SELECT e.vec_id AS row_id, d.lang AS label, d.text, CAST(e.label AS BIGINT) AS cluster_id, "
+    "CAST(e.embedding[1] AS DOUBLE) AS x, CAST(e.embedding[2] AS DOUBLE) AS y "
+    "FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
+)
+
+
+def label_assignment(spark, sf):
+    emb = src.load_table(spark, sf, "embeddings")
+    docs = src.load_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return emb.join(docs, emb.vec_id == docs.doc_id).select(
+        F.col("vec_id").alias("row_id"), F.col("lang").alias("label"), "text",
+        F.col("label").cast("long").alias("cluster_id"),
+        F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"),
+    )
+
+
+ALIGN_CTES = f"""
+a AS ({ASSIGN_SQL}),
+cnts AS (SELECT cluster_id, label, count(*) AS cnt FROM a GROUP BY cluster_id, label),
+lt AS (SELECT label, sum(cnt) AS label_total, sum(sum(cnt)) OVER () AS n_all FROM cnts GROUP BY label),
+sz AS (SELECT cluster_id, sum(cnt) AS cluster_size FROM cnts WHERE cluster_id <> -1 GROUP BY cluster_id),
+t2 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cluster_size DESC, cluster_id DESC) AS rank FROM sz) WHERE rank <= 2),
+t2b AS (SELECT * FROM t2 WHERE (SELECT count(*) FROM t2) >= 2),
+mj AS (SELECT cluster_id, label AS majority_label, cnt AS label_in_cluster FROM
+        (SELECT c.*, row_number() OVER (PARTITION BY c.cluster_id ORDER BY c.cnt DESC, c.label ASC) AS r
+         FROM cnts c JOIN t2b ON t2b.cluster_id = c.cluster_id) WHERE r = 1),
+al0 AS (SELECT t2b.rank, t2b.cluster_id, mj.majority_label, mj.label_in_cluster, lt.label_total, t2b.cluster_size,
+               CAST(lt.n_all AS DOUBLE) AS n,
+               CAST(mj.label_in_cluster AS DOUBLE) AS tp,
+               CAST(t2b.cluster_size - mj.label_in_cluster AS DOUBLE) AS fp,
+               CAST(lt.label_total - mj.label_in_cluster AS DOUBLE) AS fn
+        FROM t2b JOIN mj ON mj.cluster_id = t2b.cluster_id JOIN lt ON lt.label = mj.majority_label),
+al1 AS (SELECT *, (n - fp - fn) / n AS accuracy,
+               CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM al0),
+al AS (SELECT CAST(rank AS BIGINT) AS rank, cluster_id, majority_label, accuracy, precision, recall,
+              CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+              CAST(label_in_cluster AS BIGINT) AS label_in_cluster, CAST(label_total AS BIGINT) AS label_total,
+              CAST(cluster_size AS BIGINT) AS cluster_size FROM al1)"""
+
+SIL_CTES = """
+p AS (SELECT row_id, cluster_id, x, y FROM a WHERE cluster_id <> -1),
+dd AS (SELECT p1.row_id, p1.cluster_id AS own, p2.cluster_id AS other,
+              sum(sqrt((p1.x - p2.x) * (p1.x - p2.x) + (p1.y - p2.y) * (p1.y - p2.y))) AS sum_d, count(*) AS cnt
+       FROM p p1, p p2 GROUP BY p1.row_id, p1.cluster_id, p2.cluster_id),
+st AS (SELECT row_id, max(CASE WHEN other = own THEN cnt END) AS own_cnt,
+              max(CASE WHEN other = own THEN sum_d END) AS own_sum,
+              min(CASE WHEN other <> own THEN sum_d / cnt END) AS b FROM dd GROUP BY row_id),
+sv AS (SELECT CASE WHEN own_cnt <= 1 OR b IS NULL THEN 0.0
+                   WHEN greatest(own_sum / (own_cnt - 1), b) > 0
+                   THEN (b - own_sum / (own_cnt - 1)) / greatest(own_sum / (own_cnt - 1), b) ELSE 0.0 END AS s FROM st),
+sil AS (SELECT CASE WHEN count(*) > 1 AND (SELECT count(DISTINCT cluster_id) FROM p) > 1 THEN avg(s) END AS silhouette,
+               CAST(count(*) AS BIGINT) AS n_points FROM sv)"""
+
+
+def _r6(df, *cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+@register("cluster_summary", f"""
+WITH a AS ({ASSIGN_SQL})
+SELECT CAST(count(*) AS BIGINT) AS n_messages, CAST(count(DISTINCT cluster_id) AS BIGINT) AS n_clusters_incl_noise,
+       CAST(count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS BIGINT) AS n_clusters,
+       CAST(sum(CASE WHEN cluster_id = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM a""")
+def cluster_summary(spark, sf):
+    return evaluate.summary(label_assignment(spark, sf))
+
+
+@register("cluster_sizes", f"""
+WITH a AS ({ASSIGN_SQL})
+SELECT cluster_id, CAST(count(*) AS BIGINT) AS cluster_size FROM a WHERE cluster_id <> -1 GROUP BY cluster_id""")
+def cluster_sizes(spark, sf):
+    return evaluate.cluster_sizes(label_assignment(spark, sf))
+
+
+ALIGN_COLS = ("accuracy", "precision", "recall", "f1")
+
+
+@register("cluster_label_alignment", f"""
+WITH {ALIGN_CTES}
+SELECT rank, cluster_id, majority_label, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1, label_in_cluster, label_total, cluster_size FROM al""")
+def cluster_label_alignment(spark, sf):
+    return _r6(evaluate.alignment(label_assignment(spark, sf)), *ALIGN_COLS)
+
+
+@register("silhouette", f"""
+WITH a AS ({ASSIGN_SQL}), {SIL_CTES}
+SELECT round(silhouette, 6) AS silhouette, n_points FROM sil""")
+def silhouette_q(spark, sf):
+    return _r6(evaluate.silhouette(label_assignment(spark, sf)), "silhouette")
+
+
+@register("cluster_centroids", f"""
+WITH a AS ({ASSIGN_SQL})
+SELECT cluster_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, CAST(count(*) AS BIGINT) AS cluster_size
+FROM a WHERE cluster_id <> -1 GROUP BY cluster_id""")
+def cluster_centroids(spark, sf):
+    return _r6(evaluate.centroids(label_assignment(spark, sf)), "cx", "cy")
+
+
+CLUSTER_TOP_SQL = _top_k_sql(f"SELECT row_id, cluster_id, text FROM ({ASSIGN_SQL}) WHERE cluster_id <> -1",
+                             3, n=3, stopwords=True, group="cluster_id")
+
+
+@register("cluster_top_ngrams", CLUSTER_TOP_SQL)
+def cluster_top_ngrams(spark, sf):
+    return evaluate.cluster_top_ngrams(label_assignment(spark, sf), n=3, top_k=3)
+
+
+@register("ngram_annotations", f"""
+WITH top AS ({CLUSTER_TOP_SQL}),
+a AS ({ASSIGN_SQL}),
+cen AS (SELECT cluster_id, avg(x) AS cx, avg(y) AS cy FROM a WHERE cluster_id <> -1 GROUP BY cluster_id),
+ext AS (SELECT max(y) - min(y) AS y_span FROM a),
+rng AS (SELECT min(cnt) AS cmin, max(cnt) AS cmax FROM top WHERE cnt > 0),
+kk AS (SELECT cluster_id, count(*) AS k FROM top GROUP BY cluster_id)
+SELECT t.cluster_id, t.rank, t.item AS gram, t.cnt, round(c.cx, 6) AS x,
+       round(c.cy + ((kk.k - 1) / 2.0 - (t.rank - 1)) * (CASE WHEN ext.y_span > 0 THEN ext.y_span * 0.02 ELSE 0.1 END), 6) AS y,
+       round(CASE WHEN rng.cmax = rng.cmin THEN 11.0 ELSE 8.0 + (t.cnt - rng.cmin) * 6.0 / (rng.cmax - rng.cmin) END, 6) AS font_size
+FROM top t JOIN cen c ON c.cluster_id = t.cluster_id JOIN kk ON kk.cluster_id = t.cluster_id, ext, rng""")
+def ngram_annotations(spark, sf):
+    assign = label_assignment(spark, sf)
+    top = evaluate.cluster_top_ngrams(assign, n=3, top_k=3)
+    return _r6(evaluate.annotations(assign, top), "x", "y", "font_size")
+
+
+@register("scatter_series", f"""
+WITH a AS ({ASSIGN_SQL})
+SELECT row_id, CASE WHEN cluster_id = -1 THEN 'noise' ELSE 'cluster ' || CAST(cluster_id AS VARCHAR) END AS series,
+       label, x, y FROM a""")
+def scatter_series(spark, sf):
+    return evaluate.scatter_series(label_assignment(spark, sf))
+
+
+@register("cluster_metrics_text", f"""
+WITH {ALIGN_CTES}, {SIL_CTES}
+SELECT (CASE WHEN sil.silhouette IS NULL THEN 'Silhouette: n/a' ELSE printf('Silhouette: %.3f', sil.silhouette) END)
+       || chr(10) ||
+       (CASE WHEN (SELECT count(*) FROM al) > 0 THEN 'Top clusters:' || chr(10) ||
+             (SELECT string_agg(printf('cluster %d (%s)', cluster_id, majority_label) || chr(10) ||
+                                printf('  acc=%.3f prec=%.3f rec=%.3f', accuracy, precision, recall) || chr(10) ||
+                                printf('  f1=%.3f label_in_cluster=%d label_total=%d', f1, label_in_cluster, label_total),
+                                chr(10) ORDER BY rank) FROM al)
+        ELSE 'Top clusters: N/A' END) AS metrics_text
+FROM sil""")
+def cluster_metrics_text(spark, sf):
+    assign = label_assignment(spark, sf)
+    return evaluate.metrics_text(evaluate.silhouette(assign), evaluate.alignment(assign))
