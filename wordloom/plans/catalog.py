@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import duck_ngrams, duck_strip_ws, duck_tokens
-from ..operators import classify, evaluate, freq, naive_bayes, split
+from ..operators import classify, cluster, evaluate, freq, naive_bayes, reduce, split
 from ..operators.split import duck_split_sql
 from ..sources import text as src
 from . import classic
@@ -413,3 +413,87 @@ FROM sil""")
 def cluster_metrics_text(spark, sf):
     assign = label_assignment(spark, sf)
     return evaluate.metrics_text(evaluate.silhouette(assign), evaluate.alignment(assign))
+
+
+# ------------------------------------------------ reduction and clustering
+def _vectors(spark, sf):
+    emb = src.load_table(spark, sf, "embeddings")
+    return emb.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), "label")
+
+
+def _dbscan_sql(eps: float, min_samples: int, cosine: bool = False) -> str:
+    vec = "CAST(embedding AS DOUBLE[])"
+    if cosine:
+        dist = "1.0 - list_cosine_similarity(a.v, b.v)"
+    else:
+        dist = "list_distance(a.v, b.v)"
+    return f"""
+WITH RECURSIVE
+p AS (SELECT vec_id AS row_id, {vec} AS v FROM embeddings),
+nb AS (SELECT a.row_id AS a, b.row_id AS b FROM p a, p b WHERE {dist} <= {eps!r}),
+cnt AS (SELECT a AS row_id, count(*) AS n FROM nb GROUP BY a),
+core AS (SELECT row_id FROM cnt WHERE n >= {int(min_samples)}),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON c1.row_id = nb.a JOIN core c2 ON c2.row_id = nb.b),
+reach(node, root) AS (
+  SELECT row_id, row_id FROM core
+  UNION
+  SELECT ce.b, reach.root FROM reach JOIN ce ON ce.a = reach.node),
+comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+num AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT DISTINCT root FROM comp)),
+ccid AS (SELECT c.node AS row_id, n.cid FROM comp c JOIN num n ON n.root = c.root),
+bord AS (SELECT nb.a AS row_id, min(cc.cid) AS cid FROM nb JOIN ccid cc ON cc.row_id = nb.b
+         WHERE nb.a NOT IN (SELECT row_id FROM core) GROUP BY nb.a)
+SELECT p.row_id, CAST(coalesce(cc.cid, bd.cid, -1) AS INTEGER) AS cluster_id
+FROM p LEFT JOIN ccid cc ON cc.row_id = p.row_id LEFT JOIN bord bd ON bd.row_id = p.row_id
+"""
+
+
+DBSCAN_EPS, DBSCAN_MIN = 1.16, 5
+
+
+@register("dbscan", _dbscan_sql(DBSCAN_EPS, DBSCAN_MIN))
+def dbscan_q(spark, sf):
+    out, _ = cluster.dbscan(_vectors(spark, sf), eps=DBSCAN_EPS, min_samples=DBSCAN_MIN)
+    return out
+
+
+@register("dbscan_cosine", _dbscan_sql(DBSCAN_EPS ** 2 / 2, DBSCAN_MIN, cosine=True))
+def dbscan_cosine_q(spark, sf):
+    out, _ = cluster.dbscan(_vectors(spark, sf), eps=DBSCAN_EPS ** 2 / 2, min_samples=DBSCAN_MIN, metric="cosine")
+    return out
+
+
+@register("dbscan_small_blocks", _dbscan_sql(1.14, 3))
+def dbscan_small_blocks_q(spark, sf):
+    """Same operator with tiny blocks (many block pairs) and another (eps, min_samples)."""
+    out, _ = cluster.dbscan(_vectors(spark, sf), eps=1.14, min_samples=3, block_size=64)
+    return out
+
+
+def _reduced(df, k):
+    return df.select("row_id", F.transform("reduced", lambda x: F.round(x, 6)).alias("reduced"))
+
+
+@register("pca")
+def pca_q(spark, sf):
+    out, _ = reduce.pca(_vectors(spark, sf), 5)
+    return _reduced(out, 5)
+
+
+@register("svd")
+def svd_q(spark, sf):
+    out, _ = reduce.svd(_vectors(spark, sf), 5)
+    return _reduced(out, 5)
+
+
+@register("kernel_pca")
+def kernel_pca_q(spark, sf):
+    out, _ = reduce.kernel_pca(_vectors(spark, sf), 5)
+    return _reduced(out, 5)
+
+
+@register("kmeans")
+def kmeans_q(spark, sf):
+    red, _ = reduce.pca(_vectors(spark, sf), 5)
+    out, _ = cluster.kmeans(red.select("row_id", F.col("reduced").alias("vec")), k=2, n_init=10, seed=42)
+    return out
