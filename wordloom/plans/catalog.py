@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import duck_ngrams, duck_strip_ws, duck_tokens
-from ..operators import classify, cluster, evaluate, freq, naive_bayes, reduce, split
+from ..operators import classify, cluster, compare, embed, evaluate, freq, naive_bayes, reduce, split
+from ..sources import sinks
 from ..operators.split import duck_split_sql
 from ..sources import text as src
 from . import classic
@@ -497,3 +498,175 @@ def kmeans_q(spark, sf):
     red, _ = reduce.pca(_vectors(spark, sf), 5)
     out, _ = cluster.kmeans(red.select("row_id", F.col("reduced").alias("vec")), k=2, n_init=10, seed=42)
     return out
+
+
+# --------------------------------------------------------------- embeddings
+def _fresh_path(spark, name):
+    import uuid
+
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("embed_documents")
+def embed_documents(spark, sf):
+    docs = src.documents_by_lang(spark, sf)
+    out, _ = embed.embed_with_cache(spark, docs, embed.LocalHashEmbedder(64, 42), "local", "hash-64", {},
+                                    _fresh_path(spark, "embed-cache"), batch_size=128)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return out.select("row_id", "label", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"))
+
+
+@register("embedding_cache_misses", """
+SELECT DISTINCT sha256(coalesce(text, '')) AS text_hash FROM conversations
+WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents)""")
+def embedding_cache_misses(spark, sf):
+    """Second run over documents + conversations after a first run over documents: only new texts miss."""
+    cache = _fresh_path(spark, "embed-cache")
+    prov, fp_args = embed.LocalHashEmbedder(16, 7), ("local", "hash-16", {})
+    docs = src.documents_by_lang(spark, sf)
+    embed.embed_with_cache(spark, docs, prov, *fp_args, cache, batch_size=256)
+    both = docs.select("text").unionByName(src.load_table(spark, sf, "conversations").select("text"))
+    return embed.cache_misses(spark, both, cache, embed.fingerprint(*fp_args)).select("text_hash")
+
+
+# ------------------------------------------------------ runs and comparison
+RUNS = (
+    # run_id, provider, reduce algorithm, cluster algorithm
+    ("given_labels", "openai", "pca", "given"),
+    ("dbscan_euclid", "google", "kernel_pca", "dbscan"),
+)
+
+
+def _run_assignments(spark, sf):
+    base = label_assignment(spark, sf)
+    db, _ = cluster.dbscan(_vectors(spark, sf), eps=DBSCAN_EPS, min_samples=DBSCAN_MIN)
+    return {
+        "given_labels": base,
+        "dbscan_euclid": base.drop("cluster_id").join(db.select("row_id", F.col("cluster_id").cast("long")), "row_id"),
+    }
+
+
+def _reports(spark, sf):
+    parts = []
+    assignments = _run_assignments(spark, sf)
+    for run_id, provider, red, algo in RUNS:
+        assign = assignments[run_id]
+        params = {"eps": DBSCAN_EPS, "min_samples": DBSCAN_MIN, "metric": "euclidean"} if algo == "dbscan" else {}
+        emb_meta = {"provider": provider, "provider_name": provider, "model": "given-64", "provider_params": "{}",
+                    "batch_size": 128, "limit": 0, "source_path": "embeddings", "num_messages": None}
+        cfg = compare.run_config(algo, params, 42, red, {}, 64, "stored", "pca", emb_meta)
+        al, sil = evaluate.alignment(assign).cache(), evaluate.silhouette(assign).cache()  # ≤ 2 rows, 1 row
+        parts.append(compare.build_report(run_id, cfg, al, sil, evaluate.metrics_text(sil, al)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    path = _fresh_path(spark, "reports")
+    compare.write_reports(out, path)
+    return compare.read_reports(spark, path)
+
+
+def _compare_q(spark, sf, provider_filter="all"):
+    flat = compare.flatten(_reports(spark, sf), provider_filter)
+    flat = flat.withColumn("report_path", F.regexp_extract("report_path", "run_id=([^/]+)", 1))
+    return _r6(flat, "silhouette", "accuracy", "precision", "recall", "f1")
+
+
+def _run_sql(p: str, assign_sql: str) -> str:
+    """Per-run CTEs (prefix ``p``): assignment, alignment, silhouette."""
+    return f"""
+{p}a AS ({assign_sql}),
+{p}cnts AS (SELECT cluster_id, label, count(*) AS cnt FROM {p}a GROUP BY cluster_id, label),
+{p}lt AS (SELECT label, sum(cnt) AS label_total, sum(sum(cnt)) OVER () AS n_all FROM {p}cnts GROUP BY label),
+{p}sz AS (SELECT cluster_id, sum(cnt) AS cluster_size FROM {p}cnts WHERE cluster_id <> -1 GROUP BY cluster_id),
+{p}t2 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cluster_size DESC, cluster_id DESC) AS rank FROM {p}sz) WHERE rank <= 2),
+{p}t2b AS (SELECT * FROM {p}t2 WHERE (SELECT count(*) FROM {p}t2) >= 2),
+{p}mj AS (SELECT cluster_id, label AS majority_label, cnt AS label_in_cluster FROM
+        (SELECT c.*, row_number() OVER (PARTITION BY c.cluster_id ORDER BY c.cnt DESC, c.label ASC) AS r
+         FROM {p}cnts c JOIN {p}t2b t ON t.cluster_id = c.cluster_id) WHERE r = 1),
+{p}al AS (SELECT t.rank, t.cluster_id, m.majority_label, m.label_in_cluster, l.label_total, t.cluster_size,
+               CAST(l.n_all AS DOUBLE) AS n, CAST(m.label_in_cluster AS DOUBLE) AS tp,
+               CAST(t.cluster_size - m.label_in_cluster AS DOUBLE) AS fp,
+               CAST(l.label_total - m.label_in_cluster AS DOUBLE) AS fn
+        FROM {p}t2b t JOIN {p}mj m ON m.cluster_id = t.cluster_id JOIN {p}lt l ON l.label = m.majority_label),
+{p}pts AS (SELECT row_id, cluster_id, x, y FROM {p}a WHERE cluster_id <> -1),
+{p}dd AS (SELECT p1.row_id, p1.cluster_id AS own, p2.cluster_id AS other,
+              sum(sqrt((p1.x - p2.x) * (p1.x - p2.x) + (p1.y - p2.y) * (p1.y - p2.y))) AS sum_d, count(*) AS cnt
+       FROM {p}pts p1, {p}pts p2 GROUP BY p1.row_id, p1.cluster_id, p2.cluster_id),
+{p}st AS (SELECT row_id, max(CASE WHEN other = own THEN cnt END) AS own_cnt,
+              max(CASE WHEN other = own THEN sum_d END) AS own_sum,
+              min(CASE WHEN other <> own THEN sum_d / cnt END) AS b FROM {p}dd GROUP BY row_id),
+{p}sv AS (SELECT CASE WHEN own_cnt <= 1 OR b IS NULL THEN 0.0
+                   WHEN greatest(own_sum / (own_cnt - 1), b) > 0
+                   THEN (b - own_sum / (own_cnt - 1)) / greatest(own_sum / (own_cnt - 1), b) ELSE 0.0 END AS s FROM {p}st),
+{p}sil AS (SELECT CASE WHEN count(*) > 1 AND (SELECT count(DISTINCT cluster_id) FROM {p}pts) > 1 THEN avg(s) END AS silhouette
+       FROM {p}sv)"""
+
+
+def _run_row(p: str, run_id: str, provider: str, red: str, algo: str) -> str:
+    prov_tok = "gemini" if provider in ("google", "gemini") else provider
+    red_tok = "kernelpca" if red == "kernel_pca" else red
+    return f"""
+SELECT '{algo}_{red_tok}_{prov_tok}' AS config_id, '{algo}' AS cluster_algorithm, '{red}' AS cluster_reduce,
+       'pca' AS plot_reduce, '{provider}' AS embedding_provider, 'given-64' AS embedding_model,
+       'stored' AS coords_source, CAST(42 AS BIGINT) AS seed, round(s.silhouette, 6) AS silhouette,
+       CAST(a.cluster_id AS BIGINT) AS cluster_id, a.majority_label,
+       round((a.n - a.fp - a.fn) / a.n, 6) AS accuracy,
+       round(CASE WHEN a.tp + a.fp > 0 THEN a.tp / (a.tp + a.fp) ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN a.tp + a.fn > 0 THEN a.tp / (a.tp + a.fn) ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN a.tp > 0 THEN 2.0 * a.tp / (2.0 * a.tp + a.fp + a.fn) ELSE 0.0 END, 6) AS f1,
+       CAST(a.label_in_cluster AS BIGINT) AS label_in_cluster, CAST(a.label_total AS BIGINT) AS label_total,
+       CAST(a.cluster_size AS BIGINT) AS cluster_size, '{run_id}' AS report_path
+FROM {p}al a, {p}sil s WHERE a.rank = 1"""
+
+
+def _dbscan_cte(p: str, eps: float, min_samples: int) -> str:
+    return f"""
+{p}pv AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+{p}nb AS (SELECT a.row_id AS a, b.row_id AS b FROM {p}pv a, {p}pv b WHERE list_distance(a.v, b.v) <= {eps!r}),
+{p}core AS (SELECT a AS row_id FROM {p}nb GROUP BY a HAVING count(*) >= {int(min_samples)}),
+{p}ce AS (SELECT nb.a, nb.b FROM {p}nb nb JOIN {p}core c1 ON c1.row_id = nb.a JOIN {p}core c2 ON c2.row_id = nb.b),
+{p}reach(node, root) AS (
+  SELECT row_id, row_id FROM {p}core
+  UNION
+  SELECT ce.b, r.root FROM {p}reach r JOIN {p}ce ce ON ce.a = r.node),
+{p}comp AS (SELECT node, min(root) AS root FROM {p}reach GROUP BY node),
+{p}num AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT DISTINCT root FROM {p}comp)),
+{p}ccid AS (SELECT c.node AS row_id, n.cid FROM {p}comp c JOIN {p}num n ON n.root = c.root),
+{p}bord AS (SELECT nb.a AS row_id, min(cc.cid) AS cid FROM {p}nb nb JOIN {p}ccid cc ON cc.row_id = nb.b
+         WHERE nb.a NOT IN (SELECT row_id FROM {p}core) GROUP BY nb.a),
+{p}lab AS (SELECT pv.row_id, CAST(coalesce(cc.cid, bd.cid, -1) AS BIGINT) AS cluster_id
+FROM {p}pv pv LEFT JOIN {p}ccid cc ON cc.row_id = pv.row_id LEFT JOIN {p}bord bd ON bd.row_id = pv.row_id)"""
+
+
+def _compare_sql(provider_filter: str = "all") -> str:
+    dbs = _dbscan_cte("d_", DBSCAN_EPS, DBSCAN_MIN)
+    assign_db = (f"SELECT b.row_id, b.label, b.text, l.cluster_id, b.x, b.y FROM ({ASSIGN_SQL}) b "
+                 f"JOIN d_lab l ON l.row_id = b.row_id")
+    ctes = ",".join([dbs, _run_sql("g_", ASSIGN_SQL), _run_sql("e_", assign_db)])
+    rows = [_run_row("g_", *RUNS[0]), _run_row("e_", *RUNS[1])]
+    keep = [r for r, run in zip(rows, RUNS)
+            if provider_filter == "all" or ("gemini" if run[1] in ("google", "gemini") else run[1]) == provider_filter]
+    return "WITH RECURSIVE " + ctes + "\n" + "\nUNION ALL\n".join(keep)
+
+
+@register("compare_runs", _compare_sql())
+def compare_runs(spark, sf):
+    return _compare_q(spark, sf)
+
+
+@register("compare_runs_filtered", _compare_sql("gemini"))
+def compare_runs_filtered(spark, sf):
+    return _compare_q(spark, sf, "gemini")
+
+
+@register("run_metric_series")
+def run_metric_series(spark, sf):
+    return compare.metric_series(_compare_q(spark, sf))
+
+
+@register("assignments_tsv", f"""
+WITH a AS ({ASSIGN_SQL})
+SELECT label, cluster_id AS cluster, printf('%.6f', x) AS x, printf('%.6f', y) AS y, text FROM a""")
+def assignments_tsv(spark, sf):
+    return sinks.assignment_table(label_assignment(spark, sf))
