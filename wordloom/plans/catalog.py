@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import duck_ngrams, duck_strip_ws, duck_tokens
-from ..operators import classify, cluster, compare, embed, evaluate, freq, naive_bayes, reduce, split
+from ..operators import classify, cluster, compare, embed, evaluate, freq, hdbscan, naive_bayes, reduce, split
 from ..sources import sinks
 from ..operators.split import duck_split_sql
 from ..sources import text as src
-from . import classic
+from . import classic, embedding
 from .registry import register
 
 # ------------------------------------------------------------------ helpers
@@ -670,3 +670,41 @@ WITH a AS ({ASSIGN_SQL})
 SELECT label, cluster_id AS cluster, printf('%.6f', x) AS x, printf('%.6f', y) AS y, text FROM a""")
 def assignments_tsv(spark, sf):
     return sinks.assignment_table(label_assignment(spark, sf))
+
+
+# ------------------------------------------------------- HDBSCAN pieces
+HDB_MIN_SAMPLES = 10
+
+
+@register("core_distances", f"""
+WITH p AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.row_id, list_distance(a.v, b.v) AS d FROM p a, p b),
+r AS (SELECT row_id, d, row_number() OVER (PARTITION BY row_id ORDER BY d) AS k FROM d)
+SELECT row_id, round(d, 6) AS core_distance FROM r WHERE k = {HDB_MIN_SAMPLES}""")
+def core_distances_q(spark, sf):
+    out = hdbscan.core_distances(_vectors(spark, sf), min_samples=HDB_MIN_SAMPLES)
+    return out.select("row_id", F.round("core_distance", 6).alias("core_distance"))
+
+
+@register("mst_total_weight")
+def mst_total_weight_q(spark, sf):
+    mst = hdbscan.mutual_reachability_mst(_vectors(spark, sf), min_samples=HDB_MIN_SAMPLES)
+    return mst.agg(F.count(F.lit(1)).cast("long").alias("n_edges"), F.round(F.sum("w"), 6).alias("total_weight"))
+
+
+# ------------------------------------------------------------------ sweep
+def _embedded_docs(spark, sf):
+    emb = src.load_table(spark, sf, "embeddings")
+    docs = src.load_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return emb.join(docs, emb.vec_id == docs.doc_id).select(
+        F.col("vec_id").alias("row_id"), F.col("lang").alias("label"), "text", "embedding")
+
+
+@register("sweep")
+def sweep_q(spark, sf):
+    specs = [embedding.ClusterSpec("kmeans", {"n_clusters": 2, "n_init": 10}, 42, red, {}, 5)
+             for red in ("pca", "kernel_pca", "svd")]
+    specs.append(embedding.ClusterSpec("dbscan", {"eps": 0.2, "min_samples": 5}, 42, "pca", {}, 5))
+    meta = {"provider": "given", "provider_name": "given", "model": "given-64", "batch_size": 0, "limit": 0}
+    return _r6(embedding.run_sweep(spark, _embedded_docs(spark, sf), specs, meta),
+               "silhouette", "accuracy", "precision", "recall", "f1")
