@@ -38,8 +38,15 @@ _REWRITES: tuple[tuple[str, str | None], ...] = (
 )
 
 # Clitic suffixes split off by the Treebank rules; the split-off part is never
-# alphanumeric, so removing it from the token end is equivalent.
+# alphanumeric, so removing it from the token end is equivalent.  Every token
+# end is followed by white space in the padded text, so the strip runs once on
+# the whole string instead of once per token.
 CLITIC_SUFFIX = r"(n't|'ll|'re|'ve|'s|'m|'d|')$"
+_WS_CHARS = WS_CLASS[1:-1]
+CLITIC_AT_TOKEN_END = r"(n't|'ll|'re|'ve|'s|'m|'d|')(" + WS_CLASS + ")"
+# A token holding any character that is neither a letter, a digit nor white
+# space is dropped whole (``isalnum`` fails); removed on the string, too.
+NON_ALNUM_TOKEN = f"[^{_WS_CHARS}]*[^\\p{{L}}\\p{{N}}{_WS_CHARS}][^{_WS_CHARS}]*"
 
 # Treebank contractions split into two words.
 CONTRACTIONS: tuple[tuple[str, str, str], ...] = (
@@ -66,10 +73,10 @@ def tokens(text: Column | str, stopwords=None) -> Column:
     s = F.concat(F.lit(" "), F.lower(F.coalesce(col, F.lit(""))), F.lit(" "))
     for pattern, repl in _REWRITES:
         s = F.regexp_replace(s, pattern, " $1" if repl == "g1" else " ")
-    arr = F.split(s, WS_CLASS + "+")
-    arr = F.transform(arr, lambda t: F.regexp_replace(t, CLITIC_SUFFIX, ""))
+    s = F.regexp_replace(s, CLITIC_AT_TOKEN_END, "$2")
+    s = F.regexp_replace(s, NON_ALNUM_TOKEN, "")
+    arr = F.filter(F.split(s, WS_CLASS + "+"), lambda t: t != "")
     arr = F.flatten(F.transform(arr, _split_contraction))
-    arr = F.filter(arr, lambda t: t.rlike(ALNUM))
     words = resolve_stopwords(stopwords)
     if words:
         stop = list(words)
@@ -123,13 +130,13 @@ def duck_tokens(text_sql: str, stopwords=None) -> str:
     for pattern, repl in _REWRITES:
         r = " \\1" if repl == "g1" else " "
         s = f"regexp_replace({s}, {_sql_str(pattern)}, {_sql_str(r)}, 'g')"
-    s = f"string_split_regex({s}, {_sql_str(WS_CLASS + '+')})"
-    s = f"list_transform({s}, lambda t: regexp_replace(t, {_sql_str(CLITIC_SUFFIX)}, ''))"
+    s = f"regexp_replace({s}, {_sql_str(CLITIC_AT_TOKEN_END)}, '\\2', 'g')"
+    s = f"regexp_replace({s}, {_sql_str(NON_ALNUM_TOKEN)}, '', 'g')"
+    s = f"list_filter(string_split_regex({s}, {_sql_str(WS_CLASS + '+')}), lambda t: t <> '')"
     case = " ".join(
         f"WHEN t = {_sql_str(w)} THEN [{_sql_str(a)}, {_sql_str(b)}]" for w, a, b in CONTRACTIONS
     )
     s = f"flatten(list_transform({s}, lambda t: CASE {case} ELSE [t] END))"
-    s = f"list_filter({s}, lambda t: regexp_matches(t, {_sql_str(ALNUM)}))"
     words = resolve_stopwords(stopwords)
     if words:
         lst = "[" + ", ".join(_sql_str(w) for w in words) + "]"

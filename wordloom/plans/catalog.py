@@ -48,7 +48,7 @@ SELECT row_id, substr(line, 1, tab - 1) AS label, substr(line, tab + 1) AS text
 """,
 )
 def labeled_messages(spark, sf):
-    docs = src.load_table(spark, sf, "documents")
+    docs = src.load_text_table(spark, sf, "documents")
     lines = docs.select(F.col("doc_id").alias("row_id"), F.concat_ws("\t", "lang", "text").alias("value"))
     return src.parse_labelled_lines(lines, keep=("row_id",))
 
@@ -73,7 +73,7 @@ SELECT row_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ')
 """,
 )
 def tokens_per_benchmark_item(spark, sf):
-    items = src.load_table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), "text")
+    items = src.load_text_table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), "text")
     return freq.tokens_per_row(items, stopwords=True)
 
 
@@ -273,7 +273,7 @@ ASSIGN_SQL = (
 
 def label_assignment(spark, sf):
     emb = src.load_table(spark, sf, "embeddings")
-    docs = src.load_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = src.load_text_table(spark, sf, "documents").select("doc_id", "lang", "text")
     return emb.join(docs, emb.vec_id == docs.doc_id).select(
         F.col("vec_id").alias("row_id"), F.col("lang").alias("label"), "text",
         F.col("label").cast("long").alias("cluster_id"),
@@ -695,7 +695,7 @@ def mst_total_weight_q(spark, sf):
 # ------------------------------------------------------------------ sweep
 def _embedded_docs(spark, sf):
     emb = src.load_table(spark, sf, "embeddings")
-    docs = src.load_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = src.load_text_table(spark, sf, "documents").select("doc_id", "lang", "text")
     return emb.join(docs, emb.vec_id == docs.doc_id).select(
         F.col("vec_id").alias("row_id"), F.col("lang").alias("label"), "text", "embedding")
 

@@ -74,15 +74,32 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cluster when the scan gives fewer splits than cores.
+
+    A single-row-group file is one split, so tokenising it would run in one task.
+    On a large input (many splits) this is a no-op and adds no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def load_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table, spread over the cores before any per-row text work."""
+    return spread(load_table(spark, sf_dir, name))
+
+
 def documents_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as labelled text: label = language, key = doc_id."""
-    docs = load_table(spark, sf_dir, "documents")
+    docs = load_text_table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), "text")
 
 
 def conversations_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as labelled text: label = role, key orders by (conv_id, turn)."""
-    conv = load_table(spark, sf_dir, "conversations")
+    conv = load_text_table(spark, sf_dir, "conversations")
     return conv.select(conversation_key(F.col("conv_id"), F.col("turn")).alias("row_id"), F.col("role").alias("label"), "text")
 
 
@@ -96,7 +113,7 @@ TOXIC_LABELS = ("clean", "toxic")
 
 def documents_by_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents for the classifiers: label = toxic/clean from ``labels``."""
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = load_text_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("row_id"),
