@@ -7,6 +7,7 @@ the vocabulary, the features and each model read it again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -69,11 +70,13 @@ def predictions(p: Prepared, classifier_id: str, nb_params: DataFrame | None = N
 
 def compare_classifiers(p: Prepared, classifier_ids: Sequence[str], positive_label: str) -> DataFrame:
     """M6: one metrics row per classifier (``classifier_id, classifier_name, accuracy, …, train_size, test_size``)."""
-    preds = None
-    for cid in classifier_ids:
-        cid = classify.normalize_classifier_id(cid)
-        one = predictions(p, cid).withColumn("classifier_id", F.lit(cid))
-        preds = one if preds is None else preds.unionByName(one)
+    ids = [classify.normalize_classifier_id(c) for c in classifier_ids]
+    # model fits are independent (and eager): run them side by side
+    with ThreadPoolExecutor(max_workers=max(1, len(ids))) as pool:
+        parts = list(pool.map(lambda cid: predictions(p, cid).withColumn("classifier_id", F.lit(cid)), ids))
+    preds = parts[0]
+    for one in parts[1:]:
+        preds = preds.unionByName(one)
     m = classify.confusion_metrics(preds, positive_label)
     names = F.create_map(*[x for k, v in classify.CLASSIFIER_NAMES.items() for x in (F.lit(k), F.lit(v))])
     return m.select(
