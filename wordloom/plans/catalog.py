@@ -640,6 +640,11 @@ FROM {p}pv pv LEFT JOIN {p}ccid cc ON cc.row_id = pv.row_id LEFT JOIN {p}bord bd
 
 
 def _compare_sql(provider_filter: str = "all") -> str:
+    ctes, rows = _compare_parts(provider_filter)
+    return "WITH RECURSIVE " + ctes + "\n" + rows
+
+
+def _compare_parts(provider_filter: str = "all") -> tuple[str, str]:
     dbs = _dbscan_cte("d_", DBSCAN_EPS, DBSCAN_MIN)
     assign_db = (f"SELECT b.row_id, b.label, b.text, l.cluster_id, b.x, b.y FROM ({ASSIGN_SQL}) b "
                  f"JOIN d_lab l ON l.row_id = b.row_id")
@@ -647,7 +652,7 @@ def _compare_sql(provider_filter: str = "all") -> str:
     rows = [_run_row("g_", *RUNS[0]), _run_row("e_", *RUNS[1])]
     keep = [r for r, run in zip(rows, RUNS)
             if provider_filter == "all" or ("gemini" if run[1] in ("google", "gemini") else run[1]) == provider_filter]
-    return "WITH RECURSIVE " + ctes + "\n" + "\nUNION ALL\n".join(keep)
+    return ctes, "\nUNION ALL\n".join(keep)
 
 
 @register("compare_runs", _compare_sql())
@@ -660,7 +665,12 @@ def compare_runs_filtered(spark, sf):
     return _compare_q(spark, sf, "gemini")
 
 
-@register("run_metric_series")
+@register("run_metric_series", f"""
+WITH RECURSIVE {_compare_parts()[0]},
+cmp AS ({_compare_parts()[1]})
+SELECT config_id, 'accuracy' AS metric, coalesce(CAST(accuracy AS DOUBLE), 0.0) AS value FROM cmp
+UNION ALL SELECT config_id, 'f1', coalesce(CAST(f1 AS DOUBLE), 0.0) FROM cmp
+UNION ALL SELECT config_id, 'silhouette', coalesce(CAST(silhouette AS DOUBLE), 0.0) FROM cmp""")
 def run_metric_series(spark, sf):
     return compare.metric_series(_compare_q(spark, sf))
 
