@@ -16,3 +16,18 @@ def test_file_order_ids(spark, tmp_path):
     assert [r["row_id"] for r in got] == [0, 2, 4]
     head = read_labelled_text(spark, str(p1), limit=2).collect()
     assert [r["text"] for r in head] == ["first", "second"]
+
+
+def test_file_order_ids_across_files_and_splits(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    (d / "a.tsv").write_text("".join(f"ham\ta{i}\n" for i in range(300)), encoding="utf-8")
+    (d / "b.tsv").write_text("".join(f"spam\tb{i}\n" for i in range(200)), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # several splits per file
+    try:
+        rows = read_labelled_text(spark, str(d)).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["text"] for r in rows] == [f"a{i}" for i in range(300)] + [f"b{i}" for i in range(200)]
+    assert [r["row_id"] for r in rows] == list(range(500))
