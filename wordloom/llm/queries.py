@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import imatch, langid, mixing, quality, simhash, warc
 
-QUERIES = {"op1_mix": mixing.op1_mix}
-SQL = {"op1_mix": mixing.OP1_SQL}
+QUERIES = {
+    "op1_mix": mixing.op1_mix,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_quality": quality.op3_quality,
+    "op5_imatch": imatch.op5_imatch,
+    "op8_warc": warc.op8_warc,
+    "op10_langid": langid.op10_langid,
+}
+SQL = {"op1_mix": mixing.OP1_SQL, "op8_warc": warc.OP8_SQL}
