@@ -28,18 +28,25 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.unionByName(m.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _mark(e: DataFrame) -> tuple:
+    """Count and two hash digests of a set of edges."""
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node, root`` for every node that appears in ``edges`` (``u, v``); root = min id."""
     checkpoint_dir(spark)
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where(
         F.col("u") != F.col("v")).distinct().checkpoint()
+    mark = _mark(e)
     for _ in range(max_rounds):
-        nxt = _small_star(_large_star(e)).checkpoint()
-        # converged when the edge set no longer changes
-        if nxt.exceptAll(e).limit(1).count() == 0 and e.exceptAll(nxt).limit(1).count() == 0:
-            e = nxt
+        if not mark[0]:
+            break
+        e = _small_star(_large_star(e)).checkpoint()
+        # converged when the (distinct) edge set no longer changes
+        last, mark = mark, _mark(e)
+        if mark == last:
             break
-        e = nxt
     else:
         raise RuntimeError("connected components did not converge")
     # after convergence every edge is (node, root) with root the component minimum
