@@ -3,9 +3,10 @@
 The lexicon keeps terms whose document frequency lies within a band, as a share of all documents
 (a band of inverse document frequency). ``SUBSETS`` random subsets of it keep a term with chances from 1/2 down to
 1/2^11, so that for a text of any length some subsets hold a few of its terms. A fingerprint has one
-signature per subset: the hash of the text's distinct terms in the subset, sorted. The likeness of two
-fingerprints is the share of equal signatures among the subsets in which either text has terms: an edit
-leaves the signatures of the subsets whose terms it does not touch.
+signature per subset: the hash of the text's distinct terms in the subset, sorted. An edit leaves the
+signatures of the subsets whose terms it does not touch, and dense subsets hardly ever escape it. So
+the likeness of two fingerprints is the share of equal signatures among the subsets in which either
+text has terms (``LEAST`` at least), taken from the sparsest ones up to the level where that share is largest.
 
 The lexicon's size does not grow with the corpus: terms in at least ``LOW`` of all documents
 number at most the mean count of distinct terms of a document divided by ``LOW``. It goes to the tasks
@@ -34,6 +35,7 @@ from .common import prepared, table
 LOW, HIGH = 0.0005, 0.2  # band of document frequency, as a share of documents
 SUBSETS, LEVELS = 64, 11
 DIGITS = 4  # hex digits of a signature
+LEAST = 6  # signatures that a likeness is a share of, at least
 
 _TERM = re.compile(r"[^\W_]+")
 
@@ -111,17 +113,21 @@ class Fingerprinter:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of equal signatures among the subsets in which either text has terms."""
+    """Largest share of equal signatures, among the subsets from some level on in which either text has terms."""
     if a == b:
         return 1.0
     if a.startswith("all:") or b.startswith("all:"):
         return 0.0
-    same = some = 0
-    for i in range(0, SUBSETS * DIGITS, DIGITS):
-        x, y = a[i:i + DIGITS], b[i:i + DIGITS]
-        some += x != "0" * DIGITS or y != "0" * DIGITS
-        same += x == y != "0" * DIGITS
-    return same / max(some, 1)
+    same, some = [0] * LEVELS, [0] * LEVELS
+    for k in range(SUBSETS):
+        x, y = a[k * DIGITS:(k + 1) * DIGITS], b[k * DIGITS:(k + 1) * DIGITS]
+        some[k % LEVELS] += x != "0" * DIGITS or y != "0" * DIGITS
+        same[k % LEVELS] += x == y != "0" * DIGITS
+    best, s, n = 0.0, 0, 0
+    for level in reversed(range(LEVELS)):  # from the sparsest subsets on
+        s, n = s + same[level], n + some[level]
+        best = max(best, s / max(n, LEAST))
+    return best
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, lex: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
