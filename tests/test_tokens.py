@@ -44,3 +44,13 @@ def test_grams_across_removed_stopwords(spark):
     df = spark.createDataFrame([("cat and dog",)], "t string")
     g = df.select(ngrams(tokens("t", True), 2).alias("g")).first()["g"]
     assert g == ["cat dog"]
+
+
+def test_one_very_long_token_is_linear(spark):
+    import time
+
+    df = spark.createDataFrame([("a" * 1_000_000 + " b-c d",)], "t string")
+    df.select(tokens("t")).collect()
+    began = time.perf_counter()
+    got = df.select(tokens("t").alias("t")).first()["t"]
+    assert [len(x) for x in got] == [1_000_000, 1] and time.perf_counter() - began < 2
