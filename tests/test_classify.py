@@ -21,7 +21,8 @@ def test_metrics_values(spark):
 
 def test_naive_bayes_bins_and_absent_word(spark):
     rows = spark.createDataFrame([(0, "ham"), (1, "ham"), (2, "spam")], "row_id long, label string")
-    bow = spark.createDataFrame([(0, "all"), (1, "all"), (2, "all"), (0, "hamonly")], "row_id long, term string")
+    bow = spark.createDataFrame([(0, "ham", "all"), (1, "ham", "all"), (2, "spam", "all"), (0, "ham", "hamonly")],
+                                "row_id long, label string, term string")
     vocab = spark.createDataFrame([("all",), ("hamonly",)], "term string")
     p = {(r["label"], r["term"]): r for r in naive_bayes.fit(bow, rows, vocab).collect()}
     # 'all' is in every training row: one observed value, so P(True|c) = 1

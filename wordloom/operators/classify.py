@@ -87,12 +87,10 @@ def fit_predict_linear(
     reg = 1.0 / max(int(n_train), 1)
     if algorithm == "logistic_regression":
         est = LogisticRegression(featuresCol=features_col, labelCol="label_idx", regParam=reg, elasticNetParam=0.0,
-                                 standardization=False, maxIter=1000, tol=1e-6)
+                                 standardization=False, maxIter=1000, tol=1e-10)
     elif algorithm == "svm":
-        # L-BFGS on the non-smooth hinge does not meet a relative-loss tolerance quickly;
-        # Spark's own defaults (100 iterations, tol 1e-6) bound the passes over the data.
         est = LinearSVC(featuresCol=features_col, labelCol="label_idx", regParam=reg, standardization=False,
-                        maxIter=100, tol=1e-6)
+                        maxIter=1000, tol=1e-6)
         if len(labels) > 2:
             est = OneVsRest(classifier=est, featuresCol=features_col, labelCol="label_idx")
     else:

@@ -9,6 +9,8 @@ vectorizer fitted on ``has(word)`` keys orders them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,14 +40,14 @@ def vocabulary(train_tokens: DataFrame, top_words: int = 2000, order_col: str =
     )
 
 
-def bow_long(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """T7 relational form: ``row_id, term, feature_index`` for each vocabulary word a row has.
+def bow_long(rows: DataFrame, vocab: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """T7 relational form: ``row_id, term, feature_index`` (and ``carry``) for each vocabulary word a row has.
 
     The ``has(word) = False`` entries are implicit.  ``vocab`` is bounded by
     ``top_words`` and broadcast.
     """
-    words = rows.select("row_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    return words.join(F.broadcast(vocab.select("term", "feature_index")), "term").select("row_id", "term", "feature_index")
+    words = rows.select("row_id", *carry, F.explode(F.array_distinct("tokens")).alias("term"))
+    return words.join(F.broadcast(vocab.select("term", "feature_index")), "term").select("row_id", "term", "feature_index", *carry)
 
 
 def vocab_terms(vocab: DataFrame) -> list[str]:

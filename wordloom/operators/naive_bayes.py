@@ -8,9 +8,8 @@ Estimates follow the expected-likelihood rule (add one half):
   occurs in every training row, else 2).
 
 Training is one aggregation over ``(label, term)`` pairs of the training rows.
-The parameter table has ``L × top_words`` rows (both bounded: ``L`` is the
-class count, read once on the driver like any classifier's label set), so it is
-broadcast for scoring.  A row's score is
+The parameter table has a row for each label and vocabulary word; how it meets the
+rows to score is left to the optimiser.  A row's score is
 ``log P(c) + Σ_w log P(False|c,w) + Σ_{w in row} (log P(True|c,w) - log P(False|c,w))``:
 only the words a row has are touched (sparse scoring).  The predicted label is
 the arg-max; ties go to the larger label value.
@@ -18,51 +17,34 @@ the arg-max; ties go to the larger label value.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LABELS = 10_000
-
-
-def label_sizes(train_rows: DataFrame) -> list[tuple[str, int]]:
-    """``(label, N_c)`` pairs, sorted by label; the class count is small by nature."""
-    rows = train_rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    return [(r["label"], int(r["n"])) for r in rows]
-
 
 def fit(train_bow: DataFrame, train_rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """Parameter table ``label, term, n_c, n_cw, bins, log_p_true, log_p_false, log_prior``.
 
-    ``train_bow``: ``row_id, term`` (vocabulary words present); ``train_rows``:
+    ``train_bow``: ``row_id, label, term`` (vocabulary words present); ``train_rows``:
     ``row_id, label``; ``vocab``: ``term``.
     """
-    sizes = label_sizes(train_rows)
-    n_all = sum(n for _, n in sizes)
-    n_labels = len(sizes)
-    present = train_bow.join(train_rows.select("row_id", "label"), "row_id")
-    n_cw = present.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n_cw"))
+    n_cw = train_bow.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n_cw"))
     df_w = n_cw.groupBy("term").agg(F.sum("n_cw").alias("df_w"))
-    per_label = F.array(*[
-        F.struct(F.lit(lbl).alias("label"), F.lit(n).cast("long").alias("n_c"),
-                 F.lit(math.log((n + 0.5) / (n_all + 0.5 * n_labels))).alias("log_prior"))
-        for lbl, n in sizes
-    ])
-    grid = vocab.select("term", F.explode(per_label).alias("c")).select("term", "c.*")
+    every = Window.partitionBy(F.lit(0))  # a row for each label
+    sizes = train_rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_c")).select(
+        "label", "n_c", F.sum("n_c").over(every).alias("n_all"), F.count(F.lit(1)).over(every).alias("n_labels"))
+    sizes = sizes.withColumn("log_prior", F.log((F.col("n_c") + 0.5) / (F.col("n_all") + 0.5 * F.col("n_labels"))))
+    grid = _with_each(sizes, vocab.select("term"))
     params = (
         grid.join(n_cw, ["label", "term"], "left")
         .join(df_w, "term", "left")
         .fillna(0, ["n_cw", "df_w"])
-        .withColumn("bins", F.when(F.col("df_w") >= F.lit(n_all), F.lit(1)).otherwise(F.lit(2)))
+        .withColumn("bins", F.when(F.col("df_w") >= F.col("n_all"), F.lit(1)).otherwise(F.lit(2)))
     )
     denom = F.col("n_c") + F.lit(0.5) * F.col("bins")
     return params.select(
         "label",
         "term",
-        "n_c",
+        F.col("n_c").cast("long").alias("n_c"),
         F.col("n_cw").cast("long").alias("n_cw"),
         "bins",
         F.log((F.col("n_cw") + 0.5) / denom).alias("log_p_true"),
@@ -71,15 +53,18 @@ def fit(train_bow: DataFrame, train_rows: DataFrame, vocab: DataFrame) -> DataFr
     )
 
 
+def _with_each(df: DataFrame, few: DataFrame) -> DataFrame:
+    """Each row of ``df`` with each row of ``few``: a table of words (at most ``top_words``) or of labels, held as one array."""
+    one = few.agg(F.collect_list(F.struct(*few.columns)).alias("_few")).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").select(*df.columns, F.explode("_few").alias("_x")).select(*df.columns, "_x.*")
+
+
 def scores(params: DataFrame, bow: DataFrame, rows: DataFrame) -> DataFrame:
     """``row_id, label, score`` (natural-log joint likelihood) for every row × label."""
     base = params.groupBy("label").agg((F.first("log_prior") + F.sum("log_p_false")).alias("base"))
-    bases = [(r["label"], float(r["base"])) for r in base.orderBy("label").limit(MAX_LABELS + 1).collect()]
     delta = params.select("label", "term", (F.col("log_p_true") - F.col("log_p_false")).alias("delta"))
-    gain = bow.join(F.broadcast(delta), "term").groupBy("row_id", "label").agg(F.sum("delta").alias("gain"))
-    per_label = F.array(*[F.struct(F.lit(lbl).alias("label"), F.lit(b).alias("base")) for lbl, b in bases])
-    labelled = rows.select("row_id", F.explode(per_label).alias("c")).select("row_id", "c.*")
-    return labelled.join(gain, ["row_id", "label"], "left").select(
+    gain = bow.select("row_id", "term").join(delta, "term").groupBy("row_id", "label").agg(F.sum("delta").alias("gain"))
+    return _with_each(rows.select("row_id"), base).join(gain, ["row_id", "label"], "left").select(
         "row_id", "label", (F.col("base") + F.coalesce(F.col("gain"), F.lit(0.0))).alias("score")
     )
 

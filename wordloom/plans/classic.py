@@ -22,11 +22,16 @@ from ..operators import classify, features, freq, naive_bayes, split
 class Prepared:
     rows: DataFrame    # row_id, label, shuffle_key, is_train, tokens
     vocab: DataFrame   # term, cnt, freq_rank, feature_index
-    bow: DataFrame     # row_id, term, feature_index
-    labels: list[str]
+    bow: DataFrame     # row_id, term, feature_index, label, is_train
+    labels: list[str]  # of the training rows, sorted
     n_train: int
     n_test: int
 
+    def release(self) -> None:
+        """Drop what ``prepare`` holds in memory."""
+        self.rows.unpersist()
+        self.vocab.unpersist()
+
 
 def prepare(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, top_words: int = 2000,
             stopwords=None, persist: bool = True) -> Prepared:
@@ -38,42 +43,53 @@ def prepare(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, top_words: i
     vocab = features.vocabulary(rows.where("is_train"), top_words)
     if persist:
         vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
-    bow = features.bow_long(rows, vocab)
-    sizes = rows.groupBy("is_train").count().collect()
+    bow = features.bow_long(rows, vocab, carry=("label", "is_train"))
+    sizes = rows.groupBy("is_train", "label").count().collect()  # two rows for each label
     n_train = sum(int(r["count"]) for r in sizes if r["is_train"])
     n_test = sum(int(r["count"]) for r in sizes if not r["is_train"])
-    labels = [lbl for lbl, _ in naive_bayes.label_sizes(rows.where("is_train"))]
+    labels = sorted(r["label"] for r in sizes if r["is_train"])
     return Prepared(rows, vocab, bow, labels, n_train, n_test)
 
 
 def naive_bayes_model(p: Prepared) -> DataFrame:
-    train = p.rows.where("is_train").select("row_id", "label")
-    train_bow = p.bow.join(train.select("row_id"), "row_id")
-    return naive_bayes.fit(train_bow, train, p.vocab)
+    return naive_bayes.fit(p.bow.where("is_train"), p.rows.where("is_train").select("row_id", "label"), p.vocab)
+
+
+ROWS_PER_TASK = 20_000  # of a linear model's training vectors
+
+
+def vectors(p: Prepared) -> tuple[DataFrame, DataFrame]:
+    """Training and test vectors; the former persisted, as every iteration reads them, in as many partitions as they fill."""
+    vec = features.bow_vectors(p.rows, features.vocab_terms(p.vocab)).select("row_id", "label", "is_train", "features")
+    train = vec.where("is_train").coalesce(max(1, -(-p.n_train // ROWS_PER_TASK)))
+    return train.persist(StorageLevel.MEMORY_AND_DISK), vec.where(~F.col("is_train"))
 
 
-def predictions(p: Prepared, classifier_id: str, nb_params: DataFrame | None = None) -> DataFrame:
+def predictions(p: Prepared, classifier_id: str, nb_params: DataFrame | None = None, vecs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``row_id, label, predicted`` on the test rows for one classifier."""
     cid = classify.normalize_classifier_id(classifier_id)
-    test = p.rows.where(~F.col("is_train")).select("row_id", "label")
     if cid == "naive_bayes":
+        test = p.rows.where(~F.col("is_train")).select("row_id", "label")
         params = nb_params if nb_params is not None else naive_bayes_model(p)
-        test_bow = p.bow.join(test.select("row_id"), "row_id")
-        pred = naive_bayes.predict(params, test_bow, test)
+        pred = naive_bayes.predict(params, p.bow.where(~F.col("is_train")), test)
         return test.join(pred, "row_id", "left").select("row_id", "label", "predicted")
-    terms = features.vocab_terms(p.vocab)
-    vec = features.bow_vectors(p.rows, terms)
-    train_v = vec.where("is_train").persist(StorageLevel.MEMORY_AND_DISK)
-    labels = sorted(set(p.labels))
-    return classify.fit_predict_linear(train_v, vec.where(~F.col("is_train")), cid, labels, p.n_train)
+    train, test = vecs or vectors(p)
+    try:
+        return classify.fit_predict_linear(train, test, cid, p.labels, p.n_train)
+    finally:
+        if vecs is None:
+            train.unpersist()
 
 
 def compare_classifiers(p: Prepared, classifier_ids: Sequence[str], positive_label: str) -> DataFrame:
     """M6: one metrics row per classifier (``classifier_id, classifier_name, accuracy, …, train_size, test_size``)."""
     ids = [classify.normalize_classifier_id(c) for c in classifier_ids]
+    vecs = vectors(p) if set(ids) - {"naive_bayes"} else None
     # model fits are independent (and eager): run them side by side
     with ThreadPoolExecutor(max_workers=max(1, len(ids))) as pool:
-        parts = list(pool.map(lambda cid: predictions(p, cid).withColumn("classifier_id", F.lit(cid)), ids))
+        parts = list(pool.map(lambda cid: predictions(p, cid, vecs=vecs).withColumn("classifier_id", F.lit(cid)), ids))
+    if vecs:
+        vecs[0].unpersist()
     preds = parts[0]
     for one in parts[1:]:
         preds = preds.unionByName(one)
