@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import freq
+from wordloom.operators import compare, embed, freq
 from wordloom.plans import classic, embedding
 
 
@@ -17,20 +17,63 @@ def test_cluster_job_report_and_analyze(spark):
     spec = embedding.ClusterSpec("kmeans", {"n_clusters": 2, "n_init": 2}, 42, "pca", {}, 3)
     assign, meta = embedding.run_cluster(_emb(spark), spec)
     assert set(assign.columns) >= {"row_id", "label", "text", "reduced", "x", "y", "cluster_id"}
-    rep = embedding.cluster_report(spec.run_id, assign, meta, {"provider": "local", "model": "m"}).first()
+    rep = embedding.cluster_report(spec.run_id({}), assign, meta, {"provider": "local", "model": "m"}).first()
     top = rep["metrics"]["top_clusters"]
-    assert len(top) == 2 and top[0]["accuracy"] == 1.0 and rep["config"]["cluster"]["algorithm"] == "kmeans"
+    assert len(top) == 2 and top[0]["accuracy"] == 1.0 and rep["config"]["cluster"]["algorithm"] == "KMeans" and rep["config"]["cluster"]["algorithm_id"] == "kmeans"
     ann = embedding.analyze(assign, n=2, top_k=2).collect()
     assert ann and all(8.0 <= r["font_size"] <= 14.0 for r in ann)
 
 
-def test_pipeline_runner_order_and_unknown_step():
-    seen = []
-    out = embedding.run_pipeline(["words", "ngrams"], {"words": lambda: seen.append("w") or 1,
-                                                       "ngrams": lambda: seen.append("n") or 2})
-    assert seen == ["w", "n"] and out == {"words": 1, "ngrams": 2}
-    with pytest.raises(ValueError):
-        embedding.run_pipeline(["plot"], {})
+def test_default_algorithm_runs(spark):
+    assign, meta = embedding.run_cluster(_emb(spark), embedding.ClusterSpec(dims=3))
+    assert meta["cluster_algorithm"] == "HDBSCAN"
+    assert len({r.cluster_id for r in assign.collect()} - {-1}) == 2
+
+
+def test_pipelines_from_specs(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    words = {"ham": ["home", "dinner", "see", "later", "ok"], "spam": ["win", "prize", "cash", "claim", "now"]}
+    lines = [f"{k}\t{' '.join(rng.choice(words[k], 12))} {i}" for i in range(60) for k in words]
+    (tmp_path / "in.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    path = str(tmp_path / "in.txt")
+    classic_spec = {"pipeline": ["words", "ngrams", "classifier"], "words": {"path": path, "top": 3}, "ngrams": {"path": path, "n": 2, "top": 3},
+                    "classifier": {"path": path, "top_words": 50, "classifiers": ["nb", "svm", "logreg"]}}
+    out = embedding.run_pipeline(spark, classic_spec, str(tmp_path / "classic"))
+    assert list(out) == classic_spec["pipeline"] and out["words"].count() == 6
+    doc = out["classifier"].first()
+    assert (doc.train_size, doc.test_size) == (96, 24) and len(doc.results) == 3 and all(r.accuracy == 1.0 for r in doc.results)
+    spec = {"pipeline": ["embeddings", "cluster", "visualize", "analyze"], "embeddings": {"path": path, "provider": "local", "model": "h", "batch_size": 16},
+            "cluster": {"algorithm": "kmeans", "params": {"n_clusters": 2, "n_init": 2}, "reduce": {"algorithm": "svd", "dims": 4}},
+            "visualize": {"coords_source": "reduce", "reduce": {"algorithm": "pca"}}, "analyze": {"n": 1, "top_k": 2, "remove_stopwords": False}}
+    out = embedding.run_pipeline(spark, spec, str(tmp_path / "emb"), {"local": embed.LocalHashEmbedder(16, 3)})
+    assert out["cluster"].count() == out["visualize"].count() == 120 and out["analyze"].count() == 4
+    report, = compare.read_reports(spark, str(tmp_path / "emb" / "reports")).collect()
+    assert report.config.embeddings.num_messages == 120 and report.config.embeddings.source_path == path
+    tsv = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "emb" / "assignments" / "*"))
+    assert tsv.columns == ["label", "cluster", "x", "y", "text"] and tsv.count() == 120
+    with pytest.raises(ValueError, match="unknown steps"):
+        embedding.run_pipeline(spark, {"pipeline": ["plot"]}, str(tmp_path))
+    with pytest.raises(ValueError, match="no embedder"):
+        embedding.run_pipeline(spark, spec, str(tmp_path / "none"))
+
+
+def test_sweep_ids_do_not_collide(spark, tmp_path):
+    specs = [embedding.ClusterSpec("kmeans", {"n_clusters": k, "n_init": 1}, 42, "pca", {}, 3) for k in (2, 3)]
+    emb = _emb(spark)
+    flat = embedding.run_sweep(spark, [(emb, {"provider": "openai"}), (emb, {"provider": "gemini"})], specs, str(tmp_path / "s")).collect()
+    assert len(flat) == 4 and len({r.report_path for r in flat}) == 4
+    compare.write_comparison(compare.flatten(compare.read_reports(spark, str(tmp_path / "s" / "reports"))), str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert tuple(back.columns) == compare.COMPARISON_COLUMNS and back.count() == 4
+
+
+def test_very_large_conversation_ids(spark):
+    from wordloom.sources import text
+
+    key = text.conversation_key(F.col("conv_id"), F.col("turn"))
+    df = spark.createDataFrame([(10**18, 5, "user", "b a"), (10**18, 4, "user", "a b")], "conv_id long, turn long, role string, text string")
+    got = freq.top_words_by_label(df.select(key.alias("row_id"), F.col("role").alias("label"), "text"), k=1).first()
+    assert got.item == "a" and got.cnt == 2
 
 
 def test_results_document(spark):

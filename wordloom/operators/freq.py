@@ -7,7 +7,7 @@ before the shuffle: each map task sends at most ``k`` rows per group, so a
 group holding a third of all rows never lands whole in one task.
 
 Ties keep first-seen order, as ``Counter.most_common`` does: every item carries
-``first = min(row_key * 10^12 + position)`` — a DECIMAL(38,0) so the aggregate
+``first = min(row_key * 10^9 + position)`` — a DECIMAL(38,0) so the aggregate
 stays in the hash aggregate's fixed-width buffer — and ranks by
 ``(cnt desc, first asc)``.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import ngrams, tokens
 
-POS_SCALE = 10**12  # positions inside one text stay below this
+POS_SCALE = 10**9  # positions inside one text (of 2 GB at most) stay below this; with a 28-digit row key the sum has 37 digits
 
 
 def first_seen_key(row_key: Column, pos: Column) -> Column:

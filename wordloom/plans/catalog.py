@@ -23,7 +23,7 @@ t AS (SELECT rk, {g}, {duck_ngrams("toks", n)} AS items FROM t0),
 e AS (SELECT {g}, rk, pos, items[pos + 1] AS item
       FROM (SELECT {g}, rk, items, unnest(range(len(items))) AS pos FROM t)),
 c AS (SELECT {g}, item, count(*) AS cnt,
-             min(CAST(rk AS DECIMAL(38,0)) * CAST(1000000000000 AS DECIMAL(38,0)) + pos) AS first
+             min(CAST(rk AS DECIMAL(38,0)) * CAST(1000000000 AS DECIMAL(38,0)) + pos) AS first
       FROM e GROUP BY {g}, item),
 r AS (SELECT {g}, item, cnt,
              row_number() OVER (PARTITION BY {g} ORDER BY cnt DESC, first ASC) AS rank FROM c)
@@ -122,7 +122,7 @@ def _cls_ctes() -> str:
 WITH split AS ({duck_split_sql(CLS_BASE, CLS_RATIO, CLS_SEED)}),
 tok AS (SELECT row_id, label, shuffle_key, is_train, {duck_tokens("text", True)} AS tokens FROM split),
 vc AS (SELECT term, count(*) AS cnt,
-              min(CAST(shuffle_key AS DECIMAL(38,0)) * CAST(1000000000000 AS DECIMAL(38,0)) + pos) AS first
+              min(CAST(shuffle_key AS DECIMAL(38,0)) * CAST(1000000000 AS DECIMAL(38,0)) + pos) AS first
        FROM (SELECT shuffle_key, pos, tokens[pos + 1] AS term
              FROM (SELECT shuffle_key, tokens, unnest(range(len(tokens))) AS pos FROM tok WHERE is_train))
        GROUP BY term),
@@ -194,7 +194,7 @@ def vocabulary_q(spark, sf):
 
 @register("bow_features", _cls_ctes() + "SELECT row_id, term, feature_index FROM bow")
 def bow_features(spark, sf):
-    return _prepared(spark, sf).bow
+    return _prepared(spark, sf).bow.select("row_id", "term", "feature_index")
 
 
 @register(
@@ -508,7 +508,9 @@ def _fresh_path(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-@register("embed_documents")
+@register("embed_documents", """
+SELECT doc_id AS row_id, lang AS label, CAST(64 AS BIGINT) AS dims,
+       CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""")
 def embed_documents(spark, sf):
     docs = src.documents_by_lang(spark, sf)
     out, _ = embed.embed_with_cache(spark, docs, embed.LocalHashEmbedder(64, 42), "local", "hash-64", {},
@@ -696,12 +698,54 @@ def core_distances_q(spark, sf):
     return out.select("row_id", F.round("core_distance", 6).alias("core_distance"))
 
 
-@register("mst_total_weight")
+def _mst_sql(k: int, rounds: int = 10) -> str:
+    """Borůvka's rounds written out: components, their lightest edges by (w, lo, hi), pointers doubled to roots."""
+    parts = [f"""p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+dd AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM p a, p b),
+cr AS (SELECT a, d AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM dd) WHERE r = {k}),
+e AS MATERIALIZED (SELECT dd.a, dd.b, greatest(d, x.core, y.core) AS w FROM dd JOIN cr x ON x.a = dd.a JOIN cr y ON y.a = dd.b WHERE dd.a <> dd.b),
+c0 AS MATERIALIZED (SELECT id, id AS c FROM p)"""]
+    for i in range(rounds):
+        parts.append(f"""b{i} AS MATERIALIZED (SELECT x.c, min(struct_pack(w := e.w, lo := least(e.a, e.b), hi := greatest(e.a, e.b))) AS m
+  FROM e JOIN c{i} x ON x.id = e.a JOIN c{i} y ON y.id = e.b WHERE x.c <> y.c GROUP BY x.c)""")
+        parts.append(f"""o{i} AS MATERIALIZED (SELECT b.c, CASE WHEN x.c = b.c THEN y.c ELSE x.c END AS o FROM b{i} b JOIN c{i} x ON x.id = b.m.lo JOIN c{i} y ON y.id = b.m.hi)""")
+        parts.append(f"""r{i}_0 AS MATERIALIZED (SELECT s.c, CASE WHEN t.o = s.c AND s.c < s.o THEN s.c ELSE s.o END AS o FROM o{i} s JOIN o{i} t ON t.c = s.o)""")
+        for j in range(10):
+            parts.append(f"r{i}_{j + 1} AS MATERIALIZED (SELECT s.c, t.o FROM r{i}_{j} s JOIN r{i}_{j} t ON t.c = s.o)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.id, coalesce(r.o, c.c) AS c FROM c{i} c LEFT JOIN r{i}_10 r ON r.c = c.c)")
+    picks = " UNION ".join(f"SELECT m FROM b{i}" for i in range(rounds))
+    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(count(*) AS BIGINT) AS n_edges, round(sum(m.w), 6) AS total_weight FROM ({picks})"
+
+
+@register("mst_total_weight", _mst_sql(HDB_MIN_SAMPLES))
 def mst_total_weight_q(spark, sf):
     mst = hdbscan.mutual_reachability_mst(_vectors(spark, sf), min_samples=HDB_MIN_SAMPLES)
     return mst.agg(F.count(F.lit(1)).cast("long").alias("n_edges"), F.round(F.sum("w"), 6).alias("total_weight"))
 
 
+@register("hdbscan")
+def hdbscan_q(spark, sf):
+    out, _ = hdbscan.hdbscan(_vectors(spark, sf), min_samples=5, min_cluster_size=8)
+    return out
+
+
+@register("hdbscan_cosine")
+def hdbscan_cosine_q(spark, sf):
+    out, _ = hdbscan.hdbscan(_vectors(spark, sf), min_samples=5, min_cluster_size=8, metric="cosine")
+    return out
+
+
+@register("core_distances_cosine", f"""
+WITH p AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.row_id, CASE WHEN a.row_id = b.row_id THEN 0.0 ELSE 1.0 - list_cosine_similarity(a.v, b.v) END AS d FROM p a, p b),
+r AS (SELECT row_id, d, row_number() OVER (PARTITION BY row_id ORDER BY d) AS k FROM d)
+SELECT row_id, round(d, 6) AS core_distance FROM r WHERE k = {HDB_MIN_SAMPLES}""")
+def core_distances_cosine_q(spark, sf):
+    """Small blocks: many block pairs."""
+    out = hdbscan.core_distances(_vectors(spark, sf), min_samples=HDB_MIN_SAMPLES, metric="cosine", block_size=64)
+    return out.select("row_id", F.round("core_distance", 6).alias("core_distance"))
+
+
 # ------------------------------------------------------------------ sweep
 def _embedded_docs(spark, sf):
     emb = src.load_table(spark, sf, "embeddings")
@@ -712,9 +756,12 @@ def _embedded_docs(spark, sf):
 
 @register("sweep")
 def sweep_q(spark, sf):
-    specs = [embedding.ClusterSpec("kmeans", {"n_clusters": 2, "n_init": 10}, 42, red, {}, 5)
-             for red in ("pca", "kernel_pca", "svd")]
-    specs.append(embedding.ClusterSpec("dbscan", {"eps": 0.2, "min_samples": 5}, 42, "pca", {}, 5))
-    meta = {"provider": "given", "provider_name": "given", "model": "given-64", "batch_size": 0, "limit": 0}
-    return _r6(embedding.run_sweep(spark, _embedded_docs(spark, sf), specs, meta),
-               "silhouette", "accuracy", "precision", "recall", "f1")
+    """Three algorithms over three reductions and two providers' vectors (the given ones and hashed words)."""
+    given = _embedded_docs(spark, sf)
+    docs = src.documents_by_lang(spark, sf)
+    hashed, meta = embedding.run_embeddings(spark, docs, embed.LocalHashEmbedder(64, 42), "local", "hash-64", {}, _fresh_path(spark, "embed-cache"))
+    algorithms = {"kmeans": {"n_clusters": 2, "n_init": 10}, "dbscan": {"eps": 0.2, "min_samples": 5}, "hdbscan": {"min_samples": 5, "min_cluster_size": 8}}
+    specs = [embedding.ClusterSpec(a, p, 42, red, {}, 5) for red in ("pca", "kernel_pca", "svd") for a, p in algorithms.items()]
+    tables = [(given, {"provider": "given", "provider_name": "given", "model": "given-64", "batch_size": 0, "limit": 0}), (hashed, meta)]
+    flat = embedding.run_sweep(spark, tables, specs, _fresh_path(spark, "sweep"))
+    return _r6(flat.withColumn("report_path", F.regexp_extract("report_path", "run_id=([^/]+)", 1)), "silhouette", "accuracy", "precision", "recall", "f1")

@@ -39,8 +39,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting it on the context if needed.
 
-    The folder comes from ``spark.checkpoint.dir`` when the cluster names one;
-    otherwise (tests on one machine) a fresh private folder is created.
+    The folder comes from ``spark.checkpoint.dir``, which a cluster must name; on one machine
+    (``local`` masters, as in tests) a fresh private folder is created if it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
+        if (sc.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="wordloom-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, configured)
     sc.setCheckpointDir(configured)
