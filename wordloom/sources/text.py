@@ -74,21 +74,9 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster when the scan gives fewer splits than cores.
-
-    A single-row-group file is one split, so tokenising it would run in one task.
-    On a large input (many splits) this is a no-op and adds no shuffle.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def load_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table, spread over the cores before any per-row text work."""
-    return spread(load_table(spark, sf_dir, name))
+    """A text table; how it is split is the reader's business (``spark.sql.files.maxPartitionBytes``)."""
+    return load_table(spark, sf_dir, name)
 
 
 def documents_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
