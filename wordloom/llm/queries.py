@@ -6,7 +6,7 @@ tests compare them with brute force.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, imatch, langid, lines, mixing, passages, quality, simhash, warc
+from . import alignment, chat, decontaminate, imatch, langid, lines, mixing, passages, pii, quality, repair, simhash, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -19,6 +19,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_lines": lines.op9_lines,
     "op10_langid": langid.op10_langid,
+    "op11_pii": pii.op11_pii,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_repair": repair.op13_repair,
 }
 SQL = {
     "op1_mix": mixing.OP1_SQL,
