@@ -92,3 +92,18 @@ def test_allotment_is_exact():
     want = min(sum(c[t] if t >= 0 else 0 for c, t in zip(costs, ts, strict=True)) for ts in product(range(-1, 4), repeat=3) if sum(ts) == 3 - 3 + 1)
     got, ts = simhash._allot(costs, 3)
     assert got == want and sum(ts) == 1
+
+
+def test_empty_table_through_the_query(spark, make_docs, as_dir):
+    sf = as_dir(documents=make_docs([]))
+    assert simhash.op2_simhash(spark, sf).count() == 0 and simhash.one_of_each_group(spark, make_docs([])).count() == 0
+
+
+def test_near_copies_in_linear_time(spark):
+    """Many fingerprints around one: a probe inside their component makes no pairs."""
+    rng = random.Random(1)
+    fps = {0}
+    while len(fps) < 12_000:
+        fps.add(sum(1 << b for b in rng.sample(range(62), 3)))
+    d = simhash.link_groups(spark, spark.createDataFrame([(x,) for x in fps], "fp long"))
+    assert {r.root for r in d.select("root").distinct().collect()} == {0} and d.count() == len(fps)

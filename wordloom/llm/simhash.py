@@ -130,6 +130,8 @@ def _probes(bits: int, t: int) -> int:
 
 #: Cost of one probe row (exploded, shuffled, joined) against one candidate (a bit count in the join).
 PROBE_COST = 50.0
+#: Probes of a part, at most.
+PROBES = 2048
 
 
 def _mask(bits) -> int:
@@ -148,7 +150,7 @@ def _plan(fps: DataFrame, max_bits: int) -> list[tuple[int, list[int]]]:
     def costs(groups, factor):
         out = []
         for g, f in zip(groups, factor, strict=True):
-            out.append([PROBE_COST * n * _probes(len(g), t) + f * n * n * c for t, c in enumerate(_within(gram, g, max_bits))])
+            out.append([PROBE_COST * n * _probes(len(g), t) + f * n * n * c if _probes(len(g), t) <= PROBES else math.inf for t, c in enumerate(_within(gram, g, max_bits))])
         return out
 
     tried = [_group_bits(gram, m) for m in range(1, max_bits + 2)]
@@ -167,6 +169,8 @@ def _differ(a: str, b: str):
 
 def link_groups(spark: SparkSession, fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """``fp, root``: distinct fingerprints and the smallest one that links within ``max_bits`` reach."""
+    if not fps.limit(1).count():
+        return fps.select("fp", F.col("fp").alias("root"))
     plan = _plan(fps, max_bits)
 
     def index(df):
@@ -183,6 +187,9 @@ def link_groups(spark: SparkSession, fps: DataFrame, max_bits: int = 3) -> DataF
     probes = known.select("*", F.explode(F.array(*[
         F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(f)).alias("value")) for i, (m, flips) in enumerate(plan) for f in flips])).alias("x"))
     probes = probes.select("x.part", "x.value", F.col("fp").alias("u"), F.col("root").alias("u_root"))
+    # a probe that would meet its own component alone has nothing to find
+    met = targets.groupBy("part", "value").agg(F.min("v_root").alias("low"), F.max("v_root").alias("high"))
+    probes = probes.join(met, ["part", "value"]).where("low <> u_root OR high <> u_root").drop("low", "high")
     near = (F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & (_differ("u", "v") <= max_bits)
     links = probes.join(targets, ["part", "value"]).where(near).select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
     over = components(spark, materialize(spark, links.distinct(), "simhash-links"))
