@@ -81,6 +81,27 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
 
+def star_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """:func:`components` by joins and aggregations alone."""
+    checkpoint_dir(spark)
+    e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct().checkpoint()
+    mark = _mark(e)
+    for _ in range(max_rounds):
+        if not mark[0]:
+            break
+        e = _small_star(_large_star(e)).checkpoint()
+        # converged when the (distinct) edge set no longer changes
+        last, mark = mark, _mark(e)
+        if mark == last:
+            break
+    else:
+        raise RuntimeError("connected components did not converge")
+    # after convergence every edge is (node, root) with root the component minimum
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return roots.unionByName(tops).groupBy("node").agg(F.min("root").alias("root"))
+
+
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node, root`` for every node of an edge (``u, v``) between two nodes; root = min id."""
     checkpoint_dir(spark)
@@ -98,19 +119,7 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) ->
     e = e.mapInPandas(forest, "u long, v long").checkpoint()
     if e.count() <= ONE_TASK:
         return e.coalesce(1).mapInPandas(whole, "node long, root long").checkpoint()
-    e, mark = e.distinct().checkpoint(), None
-    for _ in range(max_rounds):
-        e = _small_star(_large_star(e)).checkpoint()
-        # converged when the (distinct) edge set no longer changes
-        last, mark = mark, _mark(e)
-        if mark == last:
-            break
-    else:
-        raise RuntimeError("connected components did not converge")
-    # after convergence every edge is (node, root) with root the component minimum
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return roots.unionByName(tops).groupBy("node").agg(F.min("root").alias("root"))
+    return star_components(spark, e, max_rounds)
 
 
 # ------------------------------------------------------------- spanning forests
