@@ -1,13 +1,15 @@
-"""Classifier metrics (A5, A6), Spark ML linear models (M3, M4) and metric series (M8)."""
+"""Classifier metrics (A5, A6), linear models (M3, M4), their optimality check and metric series (M8)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import svm
+
 # Classifier ids and display names of the reference.
 CLASSIFIER_NAMES = {
     "naive_bayes": "Naive Bayes",
@@ -66,6 +68,17 @@ def confusion_metrics(pred: DataFrame, positive_label: str, group_cols: Sequence
     )
 
 
+def _label_index(labels: Sequence[str]) -> Column:
+    return (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1).cast("double")
+
+
+def fit_logistic(train: DataFrame, labels: Sequence[str], n_train: int, features_col: str = "features"):
+    """M4: L2-penalised logistic regression with C = 1: Spark scales the data term by 1/n, so ``regParam = 1/n_train``; no standardisation."""
+    est = LogisticRegression(featuresCol=features_col, labelCol="label_idx", regParam=1.0 / max(int(n_train), 1), elasticNetParam=0.0,
+                             standardization=False, maxIter=1000, tol=1e-10)
+    return est.fit(train.select("row_id", features_col, _label_index(labels).alias("label_idx")))
+
+
 def fit_predict_linear(
     train: DataFrame,
     test: DataFrame,
@@ -76,31 +89,46 @@ def fit_predict_linear(
 ) -> DataFrame:
     """M3/M4: fit on ``train`` (``features``, ``label``) and predict ``test``.
 
-    Settings mirror an L2-penalised objective with C = 1: Spark scales the data
-    term by 1/n, so ``regParam = 1/n_train``; no standardisation.  The SVM uses
-    the plain hinge loss (known difference from a squared-hinge solver).
     Returns ``row_id, label, predicted``.
     """
     labels = list(labels)
-    idx = (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1).cast("double")
-    train_i = train.select("row_id", features_col, idx.alias("label_idx"))
-    reg = 1.0 / max(int(n_train), 1)
-    if algorithm == "logistic_regression":
-        est = LogisticRegression(featuresCol=features_col, labelCol="label_idx", regParam=reg, elasticNetParam=0.0,
-                                 standardization=False, maxIter=1000, tol=1e-10)
-    elif algorithm == "svm":
-        est = LinearSVC(featuresCol=features_col, labelCol="label_idx", regParam=reg, standardization=False,
-                        maxIter=1000, tol=1e-6)
-        if len(labels) > 2:
-            est = OneVsRest(classifier=est, featuresCol=features_col, labelCol="label_idx")
-    else:
+    if algorithm == "svm":
+        return svm.fit(train, labels, features_col).predict(test, features_col)
+    if algorithm != "logistic_regression":
         raise ValueError(f"not a linear classifier: {algorithm}")
-    model = est.fit(train_i)
-    out = model.transform(test.select("row_id", "label", features_col))
+    out = fit_logistic(train, labels, n_train, features_col).transform(test.select("row_id", "label", features_col))
     label_arr = F.array(*[F.lit(x) for x in labels])
     return out.select("row_id", "label", F.element_at(label_arr, F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
+def residual_gradient(bow: DataFrame, rows: DataFrame, weights: DataFrame, positive_label: str, algorithm: str) -> DataFrame:
+    """Gradient of a two-label linear model's objective at its weights, by joins over the relational features.
+
+    ``bow`` holds ``row_id, term`` of the training rows, ``rows`` their ``row_id, label``, ``weights`` ``term, weight`` with the
+    intercept under a null term.  Returns ``term, gradient`` for each row of ``weights``: zero at the optimum.  It shares
+    no code with the solvers.  ``weights`` is bounded by the vocabulary.
+    """
+    intercept = weights.where(F.col("term").isNull()).agg(F.first("weight").alias("_b"))  # one row
+    sums = bow.join(weights, "term").groupBy("row_id").agg(F.sum("weight").alias("_s"))
+    decision = F.coalesce(F.col("_s"), F.lit(0.0)) + F.col("_b")
+    truth = F.col("label") == F.lit(positive_label)
+    if algorithm == "svm":
+        sign = F.when(truth, 1.0).otherwise(-1.0)
+        slope = -2.0 * sign * F.greatest(1.0 - sign * decision, F.lit(0.0))
+    elif algorithm == "logistic_regression":
+        slope = 1.0 / (1.0 + F.exp(-decision)) - truth.cast("double")
+    else:
+        raise ValueError(f"not a linear classifier: {algorithm}")
+    slopes = rows.join(sums, "row_id", "left").join(F.broadcast(intercept)).select("row_id", slope.alias("_slope"))
+    by_term = bow.join(slopes, "row_id").groupBy("term").agg(F.sum("_slope").alias("_g"))
+    overall = slopes.agg(F.lit(None).cast("string").alias("term"), F.sum("_slope").alias("_g"))
+    free = F.lit(0.0) if algorithm == "logistic_regression" else F.col("weight")  # the penalty on the intercept
+    penalty = F.when(F.col("term").isNull(), free).otherwise(F.col("weight"))
+    found = weights.alias("w").join(by_term.unionByName(overall).alias("g"), F.expr("w.term <=> g.term"), "left")
+    return found.select(F.col("w.term").alias("term"), F.col("weight"), F.coalesce("_g", F.lit(0.0)).alias("_g")).select(
+        "term", (penalty + F.col("_g")).alias("gradient"))
+
+
 def metric_series(metrics: DataFrame, name_col: str = "classifier_id",
                   metrics_cols: Sequence[str] = ("accuracy", "precision", "recall", "f1")) -> DataFrame:
     """M8: long form ``name, metric, value`` (null values become 0.0, as in the chart)."""

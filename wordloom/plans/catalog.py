@@ -250,6 +250,29 @@ def svm_metrics(spark, sf):
     return classic.compare_classifiers(_prepared(spark, sf), ["svm"], CLS_POSITIVE)
 
 
+# Both objectives are convex: their gradient vanishes at the optimum alone. Per training row it is at most this.
+STATIONARY = 1e-6
+
+
+def _stationary(spark, sf, classifier_id):
+    p = _prepared(spark, sf)
+    small = F.abs("gradient") <= F.lit(STATIONARY * p.n_train)
+    return classic.linear_residuals(p, classifier_id).select(F.coalesce("term", F.lit("(intercept)")).alias("term"), small.alias("stationary"))
+
+
+_STATIONARY_SQL = _cls_ctes() + "SELECT term, TRUE AS stationary FROM vocab UNION ALL SELECT '(intercept)', TRUE"
+
+
+@register("svm_stationarity", _STATIONARY_SQL)
+def svm_stationarity(spark, sf):
+    return _stationary(spark, sf, "svm")
+
+
+@register("lr_stationarity", _STATIONARY_SQL)
+def lr_stationarity(spark, sf):
+    return _stationary(spark, sf, "logistic_regression")
+
+
 @register("classifier_comparison")
 def classifier_comparison(spark, sf):
     return classic.compare_classifiers(_prepared(spark, sf), ["naive_bayes", "svm", "logistic_regression"], CLS_POSITIVE)

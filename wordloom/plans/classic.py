@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
-from ..operators import classify, features, freq, naive_bayes, split
+from ..operators import classify, features, freq, naive_bayes, split, svm
 
 
 @dataclass
@@ -81,6 +81,26 @@ def predictions(p: Prepared, classifier_id: str, nb_params: DataFrame | None = N
             train.unpersist()
 
 
+def linear_residuals(p: Prepared, classifier_id: str) -> DataFrame:
+    """``term, gradient`` of a fitted two-label linear model over the vocabulary and the intercept (null term)."""
+    cid = classify.normalize_classifier_id(classifier_id)
+    if len(p.labels) != 2:
+        raise ValueError("the gradient is that of a model of two labels")
+    train, _ = vectors(p)
+    try:
+        if cid == "svm":
+            fitted = svm.fit(train, p.labels).weights[0]
+        else:
+            model = classify.fit_logistic(train, p.labels, p.n_train)
+            fitted = [*model.coefficients.toArray(), model.intercept]
+    finally:
+        train.unpersist()
+    pairs = zip([*features.vocab_terms(p.vocab), None], map(float, fitted), strict=True)
+    weights = p.rows.sparkSession.createDataFrame(list(pairs), "term string, weight double")
+    rows = p.rows.where("is_train").select("row_id", "label")
+    return classify.residual_gradient(p.bow.where("is_train").select("row_id", "term"), rows, weights, p.labels[1], cid)
+
+
 def compare_classifiers(p: Prepared, classifier_ids: Sequence[str], positive_label: str) -> DataFrame:
     """M6: one metrics row per classifier (``classifier_id, classifier_name, accuracy, …, train_size, test_size``)."""
     ids = [classify.normalize_classifier_id(c) for c in classifier_ids]
