@@ -91,3 +91,18 @@ def test_gradient_by_joins_is_that_of_the_objective(spark, algorithm):
     for t in w:
         slope = (value({**w, t: w[t] + 1e-6}) - value({**w, t: w[t] - 1e-6})) / 2e-6
         assert abs(got[t] - slope) < 1e-6
+
+
+def test_a_step_is_few_jobs(spark, monkeypatch):
+    jobs = []
+    for name in ("_newton", "_total"):
+        plain = getattr(svm, name)
+        monkeypatch.setattr(svm, name, lambda *args, plain=plain: jobs.append(1) or plain(*args))
+    rng = np.random.default_rng(6)
+    x = (rng.random((200, 60)) < 0.2).astype(float) * np.linspace(0.1, 9, 60)
+    y = np.where(rng.random(200) < 0.5, "b", "a")
+    rows = _rows(spark, x, y).repartition(3).persist()
+    found = svm.fit(rows, ["a", "b"]).weights
+    assert len(jobs) <= 60
+    monkeypatch.setattr(svm, "MATRIX_FEATURES", 0)
+    assert np.allclose(found, svm.fit(rows, ["a", "b"]).weights, atol=1e-6)

@@ -2,9 +2,10 @@
 
 For each separator the strictly convex objective ``0.5·|w|² + C·Σ max(0, 1 - s·(w·x))²`` (``x`` with a constant 1
 appended, ``s`` = ±1) is minimised by Newton steps of exact length: the training rows are packed once into sparse
-blocks that stay on the executors, and every step asks them for the gradient, for products of the generalised
-Hessian with a vector (conjugate gradients) and for slopes along the step, summed by ``treeAggregate``.  The
-driver holds a handful of vectors of ``features + 1`` numbers and never a matrix.  Rows without a feature vector are left out of the training and get
+blocks that stay on the executors, and every step asks them for the gradient and the generalised Hessian in one job and for slopes along
+the step in two or three, summed by ``treeAggregate``.  A step is thus a few jobs, whatever the condition of the Hessian. The
+driver solves for the step; it holds a matrix of ``features + 1`` rows and columns, which the vocabulary bounds (32 MB for 2,000
+words).  Beyond ``MATRIX_FEATURES`` there is no matrix: steps come from products of the Hessian with a vector (conjugate gradients).  Rows without a feature vector are left out of the training and get
 the decision of the intercept.
 """
 
@@ -24,6 +25,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
+#: Features up to which the Hessian is a matrix.
+MATRIX_FEATURES = 2_500
+#: Rows that are spread out for a part of the Hessian at once.
+HESSIAN_ROWS = 1_024
+
 _PACKED = "klass binary, row binary, feature binary, value binary"
 
 
@@ -84,6 +90,22 @@ class Block:
         sign = np.where(self.klass == positive, 1.0, -1.0)
         return self.back(np.where(sign * self.times(w) < 1.0, 2.0 * self.times(v), 0.0), len(w))
 
+    def hessian(self, w: np.ndarray, positive: int, total: np.ndarray) -> None:
+        """Adds to ``total`` the gradient of the summed squared hinge (first row) and its generalised Hessian (the others)."""
+        size = len(w)
+        total[0] += self.gradient(w, positive)
+        sign = np.where(self.klass == positive, 1.0, -1.0)
+        active = sign * self.times(w) < 1.0
+        ends = np.cumsum(np.bincount(self.row, minlength=len(self.klass)))  # entries stand in the order of rows
+        for s in range(0, len(self.klass), HESSIAN_ROWS):
+            e = min(s + HESSIAN_ROWS, len(self.klass))
+            low, high = (ends[s - 1] if s else 0), ends[e - 1]
+            x = np.zeros((e - s, size))
+            np.add.at(x, (self.row[low:high] - s, self.feature[low:high]), self.value[low:high])
+            x[:, -1] = 1.0
+            x = x[active[s:e]]
+            total[1:] += 2.0 * (x.T @ x)
+
 
 def _unpack(r) -> Block:
     return Block(np.frombuffer(r["klass"], "int32"), np.frombuffer(r["row"], "int32"),
@@ -94,6 +116,26 @@ def _total(blocks: RDD, size: int, part: Callable[[Block], np.ndarray]) -> np.nd
     return blocks.treeAggregate(np.zeros(size), lambda acc, block: acc + part(block), lambda a, b: a + b)
 
 
+def _newton(blocks: RDD, w: np.ndarray, positive: int) -> np.ndarray:
+    """Gradient (first row) and generalised Hessian (the others) of the summed squared hinge: one job, half a matrix a task, two tasks a core at most."""
+    size = len(w)
+
+    def of_part(part: Iterator[Block]) -> Iterator[np.ndarray]:
+        total = np.zeros((size + 1, size))
+        for block in part:
+            block.hessian(w, positive, total)
+        yield np.concatenate([total[0], *(total[i + 1, i:] for i in range(size))])  # symmetric
+
+    found = blocks.coalesce(2 * max(1, blocks.context.defaultParallelism)).mapPartitions(of_part).treeReduce(lambda a, b: a + b)
+    out, at = np.empty((size + 1, size)), size
+    out[0] = found[:size]
+    for i in range(size):
+        out[i + 1, i:] = found[at:at + size - i]
+        out[i + 1:, i] = found[at:at + size - i]
+        at += size - i
+    return out
+
+
 def _direction(gradient: np.ndarray, hessian: Callable[[np.ndarray], np.ndarray], enough: float) -> np.ndarray:
     """Newton direction by conjugate gradients, up to a residual of ``enough``."""
     s, r = np.zeros_like(gradient), -gradient
@@ -132,13 +174,17 @@ def minimise(blocks: RDD, size: int, positive: int, c: float = 1.0, tol: float =
     w = np.zeros(size)
     start = 0.0
     for _ in range(max_iter):
-        gradient = w + c * _total(blocks, size, lambda block, w=w: block.gradient(w, positive))
+        matrix = _newton(blocks, w, positive) if size <= MATRIX_FEATURES + 1 else None
+        gradient = w + c * (_total(blocks, size, lambda block, w=w: block.gradient(w, positive)) if matrix is None else matrix[0])
         norm = float(np.linalg.norm(gradient))
         start = start or norm
         if norm <= tol * start:
             return w
-        s = _direction(gradient, lambda v, w=w: v + c * _total(blocks, size, lambda block: block.curvature(w, v, positive)),
-                       norm * min(0.1, norm / start))
+        if matrix is None:
+            s = _direction(gradient, lambda v, w=w: v + c * _total(blocks, size, lambda block: block.curvature(w, v, positive)),
+                           norm * min(0.1, norm / start))
+        else:
+            s = np.linalg.solve(np.eye(size) + c * matrix[1:], -gradient)  # the penalty makes it positive definite
         t = _length(lambda ts, w=w, s=s: w @ s + ts * (s @ s) + c * _total(blocks, len(ts), lambda block: block.along(w, s, ts, positive)))
         if t * np.linalg.norm(s) <= 1e-14 * np.linalg.norm(w):
             return w

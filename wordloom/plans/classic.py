@@ -55,7 +55,7 @@ def naive_bayes_model(p: Prepared) -> DataFrame:
     return naive_bayes.fit(p.bow.where("is_train"), p.rows.where("is_train").select("row_id", "label"), p.vocab)
 
 
-ROWS_PER_TASK = 20_000  # of a linear model's training vectors
+ROWS_PER_TASK = 5_000  # of a linear model's training vectors
 
 
 def vectors(p: Prepared) -> tuple[DataFrame, DataFrame]:
