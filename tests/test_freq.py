@@ -39,6 +39,7 @@ def test_ngrams_are_dealt_out_by_the_text(spark, monkeypatch):
 
     rng = random.Random(5)
     monkeypatch.setattr(freq, "CHARS_PER_TASK", 400)
+    monkeypatch.setattr(freq, "TOKENS", 30)
     monkeypatch.setattr(freq, "HELD", 30)
     rows = [(rng.randrange(150), rng.choice(["a", "b", None]), " ".join(rng.choice("pqrstuvw") for _ in range(rng.randint(0, 60)))) for _ in range(200)]
     rows += rows[:20] + [(None, "b", "p q x y")]

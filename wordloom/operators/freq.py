@@ -7,7 +7,7 @@ before the shuffle: each map task sends at most ``k`` rows per group, so a
 group holding a third of all rows never lands whole in one task.
 
 N-grams are mostly distinct, so their counts grow with the text. :func:`top_ngrams` deals them out to as many tasks as the
-text needs, whatever the session's number of shuffle partitions: each map task adds up the grams of rows of about ``HELD`` tokens at
+text needs, whatever the session's number of shuffle partitions: each map task adds up the grams of rows of about ``TOKENS`` tokens at
 a time (a frequent gram is one row of these), the grams go to a task for each ``CHARS_PER_TASK`` characters, and of a task's
 counts only those that can be among a group's top ``k`` are sorted.
 
@@ -32,7 +32,8 @@ POS_SCALE = 10**9  # positions inside one text (of 2 GB at most) stay below this
 
 CHARS_PER_TASK = 4_000_000  # of text, whose n-grams one task counts
 LEAST_CHARS = 500_000  # of text, that are worth a task
-HELD = 100_000  # tokens or counts that a task adds up or picks the most frequent from at a time
+TOKENS = 1_000_000  # whose n-grams a map task adds up at a time
+HELD = 100_000  # counts that a task gathers before it picks the most frequent
 
 
 def first_seen_key(row_key: Column, pos: Column) -> Column:
@@ -82,6 +83,7 @@ def _ngram_counts(df: DataFrame, n: int, group_col: str, row_col: str, parts: in
         held[rank] = np.arange(len(rank))  # a row of each rank
         t = pa.table({"g": b.column(0).take(pa.array(row)), "item": gram, "key": rank[row] * POS_SCALE + pos})
         t = t.group_by(["g", "item"], use_threads=False).aggregate([([], "count_all"), ("key", "min")])
+        t = t.sort_by([("g", "ascending"), ("item", "ascending")])  # grams that begin alike compress better
         key = t["key_min"].to_numpy()
         cols = [t["g"].combine_chunks(), t["item"].combine_chunks(), t["count_all"].combine_chunks(), b.column(1).take(pa.array(held[key // POS_SCALE])), pa.array(key % POS_SCALE)]
         return pa.RecordBatch.from_arrays(cols, names=[group_col, "item", "cnt", "_row", "_pos"])
@@ -93,7 +95,7 @@ def _ngram_counts(df: DataFrame, n: int, group_col: str, row_col: str, parts: in
         for b in batches:
             ends, start = b.column(2).offsets.to_numpy(), 0
             while start < b.num_rows:
-                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, side="right")) - 1)
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + TOKENS, side="right")) - 1)
                 yield added(b.slice(start, stop - start), pa, pc)
                 start = stop
 
